@@ -87,7 +87,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below has a plain exchange on either side, which Spark can split at a hub.
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         if large:
             out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, components, slices, text_bytes, text_lengths
@@ -143,7 +143,7 @@ def prefixes(sets: np.ndarray, off: np.ndarray, sketch: Sketch, percent: int, mo
     """
     n = np.diff(off)
     doc = np.repeat(np.arange(len(n)), n)
-    key = np.minimum(sketch(sets), (1 << 21) - 1).astype(np.uint64) << np.uint64(43) | sets & np.uint64((1 << 43) - 1)
+    key = np.minimum(sketch(sets), (1 << 20) - 1).astype(np.uint64) << np.uint64(43) | sets & np.uint64((1 << 43) - 1)
     for x, y in zip(off[:-1], off[1:], strict=True):
         key[x:y].sort()
     count = key >> np.uint64(43)
@@ -233,13 +233,42 @@ def _sets_of(classes: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> D
     return scratch.put(sets.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """The ``pairs(a, b)`` whose sets are similar."""
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), docs, k, scratch)
     one = pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     two = one.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     found = two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent)
-    return scratch.put(found.select("a", "b"))
+    out = scratch.put(found.select("a", "b"))
+    scratch.drop(sets)
+    return out
+
+
+def _meet(percent: int) -> Column:
+    """Whether rows of sets of sizes n, m at places and with l of ``pa``, ``pb`` count for their pair.
+
+    To be similar the sets must share t elements, so they share l of the first n - t + l and m - t + l.
+    """
+    t = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    least = F.least(F.col("pa") % 16, F.col("pb") % 16)
+    return (F.floor(F.col("pa") / 16) < F.col("n") - t + least) & (F.floor(F.col("pb") / 16) < F.col("m") - t + least)
+
+
+def _candidates(met: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of rows ``met(a, b, pa, pb)`` that can be similar.
+
+    They must share as many elements as the shorter l asks for. Then their whole prefixes are held together: what is
+    shared beyond the one that ends first is at most what is left of its set, and of the other beyond what is shared.
+    """
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least(F.col("pa") % 16, F.col("pb") % 16)).alias("l")).where("c >= l").select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(prefix.select(F.col("cls").alias(side), *(F.col(c).alias(c + side) for c in ("g", "n", "left"))), side)
+    pairs = pairs.withColumn("c", F.size(F.array_intersect("ga", "gb")))
+    most = F.col("c") + F.greatest(F.least("lefta", F.col("nb") - F.col("c")), F.least("leftb", F.col("na") - F.col("c")))
+    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, most_l: int = 6, sketch_bits: int = 21) -> DataFrame:
@@ -274,17 +303,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     here = Window.partitionBy("gram", "part")
     rows = rows.withColumn("x", F.min("cls").over(here)).withColumn("y", F.max("cls").over(here)).where("part > 0 or x <> y")
     idx = scratch.put(rows.select("gram", "cls", "n", "at").distinct())
-    sets = _sets_of(idx.select("cls").distinct(), docs, k, scratch)
     edges: DataFrame | None = None
-    label = idx.select(F.col("cls").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    label = scratch.put(label)
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # The more of a class's prefix other classes share, the nearer it is to the middle of its group.
+    label = idx.groupBy(F.col("cls").alias("node")).agg((F.count("*") * 1000 / F.first("n")).cast("long").alias("score"))
+    label = scratch.put(label.select("node", F.col("node").alias("label"), "score"))
+    left = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("at") % 16, F.lit(0))
+    prefix = scratch.put(idx.groupBy("cls").agg(F.collect_list("gram").alias("g"), F.first("n").alias("n"), F.first(left).alias("left")))
+    fits = _meet(percent)
     tried = None
 
     def relabel(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
         new = scratch.put(new if edges is None else new.union(edges))
-        return new, scratch.put(label.select("node").join(components(new, scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        return new, scratch.put(label.select("node", "score").join(components(new, scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "score"))
 
     def open_rows() -> DataFrame:
         """Index rows of n-grams that still meet more than one component."""
@@ -294,45 +325,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     live = open_rows()
     for turn in range(4):
-        # The hub: the class of least name in the bucket, in later turns the least one outside the first's component.
-        hub = live.groupBy("gram").agg(F.min(F.struct("label", "cls", "n")).alias("h")).select("gram", "h.*")
+        # The hub: the most central class of the bucket, in every other turn the most central outside its component.
+        best = F.max(F.struct("score", "cls", "n", "label", F.col("at").alias("pb"))).alias("h")
+        hub = live.groupBy("gram").agg(best).select("gram", "h.*")
         if turn % 2:
             rest = live.join(hub.select("gram", F.col("label").alias("x")), "gram").where("label <> x")
-            hub = rest.groupBy("gram").agg(F.min(F.struct("label", "cls", "n")).alias("h")).select("gram", "h.*")
-        hub = hub.select("gram", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"))
-        pairs = live.join(hub, "gram").where((F.col("label") != F.col("lb")) & fits).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("c"), F.min(F.col("at") % 16).alias("l")).where("c >= least(l, 2)").select("a", "b")
+            hub = rest.groupBy("gram").agg(best).select("gram", "h.*")
+        hub = scratch.put(hub.select("gram", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), "pb"))
+        met = live.withColumnRenamed("at", "pa").withColumnRenamed("cls", "a").join(hub, "gram").where((F.col("label") != F.col("lb")) & fits)
+        pairs = _candidates(met, prefix, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs)
-        found = _verified(pairs, sets, percent, scratch)
-        n_found = found.count()
+        found = _verified(pairs, docs, percent, k, scratch)
         tried = scratch.put(pairs if tried is None else tried.union(pairs))
-        if n_found:
-            edges, label = relabel(found)
-            live = open_rows()
-        # Pairs across components that share an n-gram, of about equal size: few enough, or no longer falling?
+        n_found, n_tried = found.count(), pairs.count()
+        if not n_found:
+            break
+        edges, label = relabel(found)
+        scratch.drop(live)
+        live = open_rows()
+        if n_found * 20 < n_tried:  # stars join little more
+            break
+        # Pairs across components that share an n-gram: few enough to look at each?
         sizes = live.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        left = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
-        if left <= 2 * max(1, live.count()) or not n_found:
+        if (sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0) <= 2 * live.count():
             break
-    # All pairs that are left, by the full multi-match rule. Among shared elements the first bounds the overlap.
+    # All pairs that are left, by the full multi-match rule.
     x = live.select("gram", F.col("cls").alias("a"), "n", F.col("label").alias("la"), F.col("at").alias("pa"))
     y = live.select("gram", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("at").alias("pb"))
     met = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
-    place = lambda c: F.min(F.floor(F.col(c) / 16))
-    met = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.min(F.least(F.col("pa") % 16, F.col("pb") % 16)).alias("l"), place("pa").alias("i"), place("pb").alias("j"))
-    bound = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    pairs = met.where((F.col("c") >= F.col("l")) & (bound * (100 + percent) >= (F.col("n") + F.col("m")) * percent)).select("a", "b")
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    pairs = _candidates(met, prefix, percent)
+    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     pairs = scratch.put(pairs)
-    found = _verified(pairs, sets, percent, scratch)
+    found = _verified(pairs, docs, percent, k, scratch)
     edges, label = relabel(found)
-    scratch.drop(live, pairs, idx, sets)
+    scratch.drop(live, pairs, idx, prefix)
 
     # Names: the least identifier of each class, then of each component.
     cls = named.where("n > 0").groupBy("cls", "cls2").agg(F.min("id").alias("id"))
-    cls = cls.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    cls = cls.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     cls = scratch.put(cls)
     least = cls.groupBy("label").agg(F.min("id").alias("least"))
     cls = cls.join(least, "label").select("cls", "cls2", "least")
