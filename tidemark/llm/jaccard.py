@@ -254,7 +254,9 @@ def _meet(percent: int) -> Column:
     """
     t = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     least = F.least(F.col("pa") % 16, F.col("pb") % 16)
-    return (F.floor(F.col("pa") / 16) < F.col("n") - t + least) & (F.floor(F.col("pb") / 16) < F.col("m") - t + least)
+    i, j = F.floor(F.col("pa") / 16), F.floor(F.col("pb") / 16)
+    most = F.least(i, j) + F.least(F.col("n") - i, F.col("m") - j)  # shared before these places, and from them on
+    return (i < F.col("n") - t + least) & (j < F.col("m") - t + least) & (most >= t)
 
 
 def _candidates(met: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
@@ -301,8 +303,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # N-grams of one class alone pair nothing. Those that the sketch calls frequent are dealt into parts and all stay;
     # as it never counts too low, no window below holds more rows than some hundreds and the sketch's noise.
     here = Window.partitionBy("gram", "part")
-    rows = rows.withColumn("x", F.min("cls").over(here)).withColumn("y", F.max("cls").over(here)).where("part > 0 or x <> y")
-    idx = scratch.put(rows.select("gram", "cls", "n", "at").distinct())
+    # A row at its place needs a partner small enough; the smallest set in the bucket says whether there can be one.
+    place, l = F.floor(F.col("at") / 16), F.col("at") % 16
+    m = F.greatest(F.min("n").over(here), F.ceil(F.col("n") * percent / 100))
+    t = F.ceil((F.col("n") + m) * percent / (100 + percent))
+    rows = rows.withColumn("x", F.min("cls").over(here)).withColumn("y", F.max("cls").over(here)).withColumn("live", place < F.col("n") - t + l).where("part > 0 or x <> y")
+    idx = scratch.put(rows.select("gram", "cls", "n", "at", (F.col("live") | (F.col("part") > 0)).alias("live")).distinct())
     edges: DataFrame | None = None
     # The more of a class's prefix other classes share, the nearer it is to the middle of its group.
     label = idx.groupBy(F.col("cls").alias("node")).agg((F.count("*") * 1000 / F.first("n")).cast("long").alias("score"))
@@ -319,7 +325,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def open_rows() -> DataFrame:
         """Index rows of n-grams that still meet more than one component."""
-        at = idx.join(label.withColumnRenamed("node", "cls"), "cls")
+        at = idx.where("live").drop("live").join(label.withColumnRenamed("node", "cls"), "cls")
         mixed = at.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         return scratch.put(at.join(mixed.select("gram"), "gram", "left_semi"))
 
