@@ -204,10 +204,11 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
     return both.where("counts is null").select("id", "n", "cls", "cls2"), Sketch(total)
 
 
-def _sets_of(classes: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """The sets of ``classes(cls)``, made anew by a scan.
+def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The sets of ``classes(cls)``, made anew by a scan, ``cls, s``.
 
-    A filter of fixed size tells the scan which classes are wanted; what it lets through in error the join drops.
+    A filter of fixed size tells the scan which classes are wanted. It lets some others through, and a class comes once
+    for each slice of a task that has a document of it.
     """
     bits = 22
     place = F.pmod("cls", F.lit(1 << bits)) + 1
@@ -229,34 +230,34 @@ def _sets_of(classes: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(sets[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(a[rows]), lists], names=["cls", "s"])
 
-    sets = docs.select("text").mapInArrow(make, "cls long, s array<long>")
-    return scratch.put(sets.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s")))
+    return docs.select("text").mapInArrow(make, "cls long, s array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """The ``pairs(a, b)`` whose sets are similar."""
     if pairs.isEmpty():
         return pairs
-    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), docs, k, scratch)
-    one = pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    two = one.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent)
-    out = scratch.put(found.select("a", "b"))
-    scratch.drop(sets)
-    return out
+    named = pairs.select(F.col("a").alias("cls"), "a", "b").union(pairs.select(F.col("b").alias("cls"), "a", "b"))
+    sets = _sets_of(named.select("cls").distinct(), docs, k).join(named, "cls")
+    of = lambda c: F.first(F.when(F.col("cls") == F.col(c), F.col("s")), ignorenulls=True)
+    both = sets.groupBy("a", "b").agg(of("a").alias("sa"), of("b").alias("sb"))
+    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+    return scratch.put(both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b"))
 
 
 def _meet(percent: int) -> Column:
     """Whether rows of sets of sizes n, m at places and with l of ``pa``, ``pb`` count for their pair.
 
-    To be similar the sets must share t elements, so they share l of the first n - t + l and m - t + l.
+    To be similar the sets must share t elements, so they share l of the first n - t + l and m - t + l. In their whole
+    prefixes they share at most the ``ca`` and ``cb`` elements that each shares with any other class.
     """
     t = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     least = F.least(F.col("pa") % 16, F.col("pb") % 16)
     i, j = F.floor(F.col("pa") / 16), F.floor(F.col("pb") / 16)
     most = F.least(i, j) + F.least(F.col("n") - i, F.col("m") - j)  # shared before these places, and from them on
-    return (i < F.col("n") - t + least) & (j < F.col("m") - t + least) & (most >= t)
+    rest = lambda n, at: F.ceil(F.col(n) * percent / 100) - F.col(at) % 16
+    shared = F.least("ca", "cb") + F.greatest(rest("n", "pa"), rest("m", "pb"))
+    return (i < F.col("n") - t + least) & (j < F.col("m") - t + least) & (most >= t) & (shared >= t)
 
 
 def _candidates(met: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
@@ -311,8 +312,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     idx = scratch.put(rows.select("gram", "cls", "n", "at", (F.col("live") | (F.col("part") > 0)).alias("live")).distinct())
     edges: DataFrame | None = None
     # The more of a class's prefix other classes share, the nearer it is to the middle of its group.
-    label = idx.groupBy(F.col("cls").alias("node")).agg((F.count("*") * 1000 / F.first("n")).cast("long").alias("score"))
-    label = scratch.put(label.select("node", F.col("node").alias("label"), "score"))
+    label = idx.groupBy(F.col("cls").alias("node")).agg((F.count("*") * 1000 / F.first("n")).cast("long").alias("score"), F.count("*").alias("cnt"))
+    label = scratch.put(label.select("node", F.col("node").alias("label"), "score", "cnt"))
     left = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("at") % 16, F.lit(0))
     prefix = scratch.put(idx.groupBy("cls").agg(F.collect_list("gram").alias("g"), F.first("n").alias("n"), F.first(left).alias("left")))
     fits = _meet(percent)
@@ -321,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def relabel(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
         new = scratch.put(new if edges is None else new.union(edges))
-        return new, scratch.put(label.select("node", "score").join(components(new, scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "score"))
+        return new, scratch.put(label.select("node", "score", "cnt").join(components(new, scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "score", "cnt"))
 
     def open_rows() -> DataFrame:
         """Index rows of n-grams that still meet more than one component."""
@@ -332,13 +333,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = open_rows()
     for turn in range(4):
         # The hub: the most central class of the bucket, in every other turn the most central outside its component.
-        best = F.max(F.struct("score", "cls", "n", "label", F.col("at").alias("pb"))).alias("h")
+        best = F.max(F.struct("score", "cls", "n", "label", "cnt", F.col("at").alias("pb"))).alias("h")
         hub = live.groupBy("gram").agg(best).select("gram", "h.*")
         if turn % 2:
             rest = live.join(hub.select("gram", F.col("label").alias("x")), "gram").where("label <> x")
             hub = rest.groupBy("gram").agg(best).select("gram", "h.*")
-        hub = scratch.put(hub.select("gram", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), "pb"))
-        met = live.withColumnRenamed("at", "pa").withColumnRenamed("cls", "a").join(hub, "gram").where((F.col("label") != F.col("lb")) & fits)
+        hub = scratch.put(hub.select("gram", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("cnt").alias("cb"), "pb"))
+        met = live.withColumnsRenamed({"at": "pa", "cls": "a", "cnt": "ca"}).join(hub, "gram").where((F.col("label") != F.col("lb")) & fits)
         pairs = _candidates(met, prefix, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -358,8 +359,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if (sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0) <= 2 * live.count():
             break
     # All pairs that are left, by the full multi-match rule.
-    x = live.select("gram", F.col("cls").alias("a"), "n", F.col("label").alias("la"), F.col("at").alias("pa"))
-    y = live.select("gram", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("at").alias("pb"))
+    x = live.select("gram", F.col("cls").alias("a"), "n", F.col("label").alias("la"), F.col("at").alias("pa"), F.col("cnt").alias("ca"))
+    y = live.select("gram", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("at").alias("pb"), F.col("cnt").alias("cb"))
     met = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
     pairs = _candidates(met, prefix, percent)
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
