@@ -110,7 +110,17 @@ class Body:
                 return i
 
     # -- statements; each gives the value returned, or None
-    def block(self, end: int) -> Value | None:
+    def follow(self, rest: tuple[tuple[int, int], ...]) -> Value | None:
+        """What the ranges of tokens that come next return."""
+        for i, (start, end) in enumerate(rest):
+            self.at = start
+            out = self.block(end, rest[i + 1 :])
+            if out is not None:
+                return out
+        return None
+
+    def block(self, end: int, rest: tuple[tuple[int, int], ...] | None = ()) -> Value | None:
+        """Runs up to ``end``. ``rest``: the ranges that come after, for paths that go on there; None in a loop."""
         while self.at < end:
             word = self.peek()
             if word == ";":
@@ -118,7 +128,7 @@ class Body:
             elif word == "{":
                 stop = self.skip(self.at)
                 self.take()
-                out = self.block(stop - 1)
+                out = self.block(stop - 1, None if rest is None else ((stop, end), *rest))
                 if out is not None:
                     return out
                 self.at = stop
@@ -126,9 +136,9 @@ class Body:
                 self.take()
                 return self.expression()
             elif word == "if":
-                return_ = self.branch(end)
-                if return_ is not None:
-                    return return_
+                out = self.branch(end, rest)
+                if out is not None:
+                    return out
             elif word == "for":
                 out = self.loop()
                 if out is not None:
@@ -138,7 +148,7 @@ class Body:
                 self.take(";")
         return None
 
-    def branch(self, end: int) -> Value | None:
+    def branch(self, end: int, more: tuple[tuple[int, int], ...] | None) -> Value | None:
         self.take("if")
         self.take("(")
         test = self.expression()
@@ -146,25 +156,27 @@ class Body:
         then, rest = self.at, self.skip(self.at)
         other = rest + 1 if rest < len(self.tokens) and self.tokens[rest] == "else" else None
         after = self.skip(other) if other is not None else rest
-        start, outs = dict(self.env), []
+        choose = lambda a, b: Value(tuple(F.when(test.test, x).otherwise(y) for x, y in zip(a.cols, b.cols, strict=True)), a.real or b.real, a.truth and b.truth)
+        returns = "return" in self.tokens[then:after]
+        if returns and more is None:
+            raise ValueError("a path can't return from inside a loop")
+        ways = ((after, end), *more) if returns else ()
+        start, envs, outs = dict(self.env), [], []
         for begin, stop in ((then, rest), (other, after)):
             self.env, out = dict(start), None
             if begin is not None:
                 self.at = begin
-                out = self.block(stop)
-            outs.append((self.env, out))
-        (env1, out1), (env2, out2) = outs
-        choose = lambda a, b: Value(tuple(F.when(test.test, x).otherwise(y) for x, y in zip(a.cols, b.cols, strict=True)), a.real or b.real, a.truth and b.truth)
+                out = self.block(stop, ways if returns else None)
+            if returns and out is None:
+                out = self.follow(ways)
+                if out is None:
+                    raise ValueError("the body doesn't return on every path")
+            envs.append(self.env)
+            outs.append(out)
         self.at = after
-        if out1 is not None and out2 is not None:
-            return choose(out1, out2)
-        if out1 is not None or out2 is not None:  # one path returns: the other goes on with what follows
-            self.env = env2 if out1 is not None else env1
-            more = self.block(end)
-            if more is None:
-                raise ValueError("the body doesn't return on every path")
-            return choose(out1, more) if out1 is not None else choose(more, out2)
-        self.env = {k: v if env2[k] is v else choose(v, env2[k]) for k, v in env1.items() if k in env2}
+        if returns:
+            return choose(*outs)
+        self.env = {k: v if envs[1][k] is v else choose(v, envs[1][k]) for k, v in envs[0].items() if k in envs[1]}
         return None
 
     def loop(self) -> Value | None:
@@ -192,7 +204,7 @@ class Body:
                 self.at = after
                 return None
             self.at = body
-            out = self.block(after)
+            out = self.block(after, None)
             if out is not None:
                 return out
             self.at = step_at

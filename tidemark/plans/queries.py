@@ -88,8 +88,15 @@ _add("q_reduce_min", lambda s, d: _series("orders", "o_totalprice", "o_orderkey"
 _add("q_reduce_bitxor", lambda s, d: sizes(s, d).reduce_df("return x ^ y;", 0), "select bit_xor(p_size) as value from part")
 _add("q_reduce_product", lambda s, d: sizes(s, d).where("k0 < 10").map("x % 5 + 1", "long").reduce_df("return x * y;", 1), "select product(p_size % 5 + 1)::bigint as value from part where p_partkey < 10")
 _add("q_reduce_body", lambda s, d: sizes(s, d).to("long").reduce_df("if (x > y) { return x; } return y;", -1), "select max(p_size)::bigint as value from part")
-_pair = Monoid(F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q")), lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["q"] + b["q"]).alias("q")), lambda x: F.struct(x.cast("bigint").alias("s"), (x.cast("bigint") * x).alias("q")))
-_add("q_reduce_custom", lambda s, d: sizes(s, d).reduce_df(_pair).select(F.col("value.s").alias("s"), F.col("value.q").alias("q")), "select sum(p_size)::bigint s, sum(p_size * p_size)::bigint q from part")
+
+
+def _pair() -> Monoid:
+    long = lambda v: F.lit(v).cast("bigint")
+    both = lambda s, q: F.struct(s.alias("s"), q.alias("q"))
+    return Monoid(both(long(0), long(0)), lambda a, b: both(a["s"] + b["s"], a["q"] + b["q"]), lambda x: both(x.cast("bigint"), x.cast("bigint") * x))
+
+
+_add("q_reduce_custom", lambda s, d: sizes(s, d).reduce_df(_pair()).select(F.col("value.s").alias("s"), F.col("value.q").alias("q")), "select sum(p_size)::bigint s, sum(p_size * p_size)::bigint q from part")
 _add("q_map_reduce_fused", lambda s, d: prices(s, d).map(lambda x: F.round(x * 100), "long").map("return x + 1;").sum_df(), "select sum(round(l_extendedprice * 100)::bigint + 1)::bigint as sum from lineitem")
 
 
