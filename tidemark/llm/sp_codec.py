@@ -12,16 +12,21 @@ position is reached by one edge, the library's own choice, not by the best of se
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, text_lengths
 
 _LOADED: dict[str, Codec] = {}
+_RAW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Words whose ids a worker remembers from one slice to the next; then it starts anew.
+MEMORY = 250_000
 SPACE = "▁"
 
 
@@ -38,9 +43,6 @@ class Codec:
         self.rank = {self.pieces[i]: -m.get_score(i) for i in normal}
         self.id = {self.pieces[i]: i for i in normal}
         self.bytes = np.array([m.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
-        self.skip = [m.is_control(i) or m.is_unknown(i) for i in range(n)]
-        self.byte_of = {int(x): b for b, x in enumerate(self.bytes)}
-        self.raw = [b"" if self.skip[i] else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         # Compact numbers of the characters of pieces; 0 for any other.
         chars = sorted({c for p in self.id for c in p})
         self.char = np.zeros(0x110000, np.int64)
@@ -67,6 +69,7 @@ class Codec:
         self._spines()
         self.slots = np.full(1 << 21, -1, np.int64)
         self.answers = np.zeros(1 << 21, bool)
+        self.forget()
 
     def _code(self, c: str) -> int:
         return int(self.char[ord(c)])
@@ -227,32 +230,53 @@ class Codec:
         order = np.argsort(place, kind="stable")
         return ids[order], np.searchsorted(place[order], begin * 8)
 
-    def encode(self, texts: list[str], most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the n+1 offsets. Words that occur again in the batch are matched once."""
-        known: dict[str, int] = {}
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the n+1 offsets. A word is matched once while it is remembered."""
+        if len(self.known) > MEMORY:
+            self.forget()
+        known, old = self.known, len(self.known)
         at, per = [], []
         for t in texts:
             own = _units(t) if t else []
             at.append(np.fromiter((known.setdefault(u, len(known)) for u in own), np.int64, len(own)))
             per.append(len(own))
-        names = list(known)
-        ids, ends, base = [], [np.zeros(1, np.int64)], 0
+        names = list(itertools.islice(known, old, None))
+        ids, ends, base = [self.known_ids], [self.known_off], len(self.known_ids)
         for i, j in slices(np.array([len(u) for u in names], np.int64), most):
             x, off = self.encode_units(names[i:j])
-            ids.append(x)
+            ids.append(x.astype(np.int32))
             ends.append(off[1:] + base)
             base += len(x)
-        ids, off = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(ends)
+        self.known_ids, self.known_off = np.concatenate(ids), np.concatenate(ends)
         which = np.concatenate(at) if at else np.zeros(0, np.int64)
-        n = off[which + 1] - off[which]
+        n = self.known_off[which + 1] - self.known_off[which]
         total = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(off[which], n)]
+        flat = self.known_ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.known_off[which], n)]
         return flat, total[np.concatenate([[0], np.cumsum(per, dtype=np.int64)])]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces end to end, runs of byte tokens as UTF-8, spaces for ``▁`` and without the one put in front."""
-        raw = b"".join([self.raw[i] for i in ids])
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+
+def _bytes_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces end to end, ``▁`` as a space and none for control pieces, and the n+1 offsets."""
+    if path not in _RAW:
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        raw = [b"" if m.is_control(i) or m.is_unknown(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
+        _RAW[path] = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    return _RAW[path]
+
+
+def decode_ids(path: str, ids: np.ndarray, off: np.ndarray) -> list[str]:
+    """The texts of ids laid end to end: pieces one after another, byte tokens as UTF-8, without the space put in front."""
+    table, at = _bytes_of(path)
+    n = np.diff(at)[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    raw = table[np.arange(ends[-1]) - np.repeat(ends[:-1] - at[ids], n)].tobytes()
+    return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[off[:-1]], ends[off[1:]], strict=True)]
 
 
 def _units(text: str) -> list[str]:
@@ -276,7 +300,7 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
     """One row for each input row: ``doc_id, n_tokens, ids``; the ids the library gives for the whole text.
 
     No begin or end tokens; strings of special tokens are ordinary text. Null and empty texts have no ids. Null
@@ -300,11 +324,12 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     """One row for each input row: ``doc_id, text`` and the columns of ``carry``. Null or no ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_path)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                texts = [c.decode(x.as_py() or []) for x in part.column(1)]
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                lists = part.column(1)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = decode_ids(model_path, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *(part.column(k) for k in range(2, part.num_columns))], names=["doc_id", "text", *carry])
 
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("__ids"), *carry)
