@@ -155,6 +155,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page; see :func:`extract`."""
     if not html:
         return ""
+    cut = html.rfind("<")
+    if cut >= 0 and ">" not in html[cut:] and re.match(r"</?[a-zA-Z!?]", html[cut:]):
+        html = html[:cut]  # a tag that the page ends in
     p = Lines()
     p.feed(html)
     p.close()
