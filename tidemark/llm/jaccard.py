@@ -234,15 +234,19 @@ def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
-    """The ``pairs(a, b)`` whose sets are similar."""
+    """The ``pairs(a, b)`` whose sets are similar.
+
+    The set of ``b`` goes once to each 64 or so of its partners, which pass by it one at a time.
+    """
     if pairs.isEmpty():
         return pairs
-    named = pairs.select(F.col("a").alias("cls"), "a", "b").union(pairs.select(F.col("b").alias("cls"), "a", "b"))
+    dealt = pairs.join(pairs.groupBy("b").count(), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("count") / 64)).alias("part"))
+    named = dealt.select(F.col("a").alias("cls"), "a", "b", "part").union(dealt.select(F.col("b").alias("cls"), F.lit(None).cast("long"), "b", "part").distinct())
     sets = _sets_of(named.select("cls").distinct(), docs, k).join(named, "cls")
-    of = lambda c: F.first(F.when(F.col("cls") == F.col(c), F.col("s")), ignorenulls=True)
-    both = sets.groupBy("a", "b").agg(of("a").alias("sa"), of("b").alias("sb"))
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return scratch.put(both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b"))
+    so_far = Window.partitionBy("b", "part").orderBy(F.col("a").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = sets.select("a", "b", "part", "s").withColumn("sb", F.first("s").over(so_far)).where("a is not null")
+    both = both.select("a", "b", (F.size("s") + F.size("sb")).alias("n"), F.size(F.array_intersect("s", "sb")).alias("i"))
+    return scratch.put(both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b").distinct())
 
 
 def _meet(percent: int) -> Column:
@@ -292,24 +296,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Sketch(np.frombuffer(zlib.decompress(shared.value), np.uint32))
+        seen: set[int] = set()
         for _, sets, off in _sets(batches, k):
             a, _ = _ids(sets, off)
+            new = np.array([not (x in seen or seen.add(x)) for x in a.tolist()], bool)
+            n = np.diff(off)
+            sets, a, off = sets[np.repeat(new, n)], a[new], np.concatenate([[0], np.cumsum(n[new])])
             gram, doc, place, best, others = prefixes(sets, off, order, percent, most_l)
             n = np.diff(off)[doc]
             parts = (others / 500).astype(np.int64)
-            part = np.where(parts > 0, 1 + (mix(np.arange(len(doc), dtype=np.uint64) + a[doc[:1]].astype(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
+            part = np.where(parts > 0, 1 + (mix(a[doc].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(a[doc]), pa.array(n.astype(np.int32)), pa.array((place * 16 + best).astype(np.int32))], names=["gram", "part", "cls", "n", "at"])
 
     rows = docs.select("text").mapInArrow(index, "gram long, part int, cls long, n int, at int")
-    # N-grams of one class alone pair nothing. Those that the sketch calls frequent are dealt into parts and all stay;
-    # as it never counts too low, no window below holds more rows than some hundreds and the sketch's noise.
+    # N-grams of one class alone pair nothing. Those that the sketch calls frequent are dealt by class into parts and all
+    # stay; as it never counts too low, no window below holds more classes than some hundreds and the sketch's noise, and
+    # of each class no more than a row from each task. Copies from several tasks meet in one part and become one row there.
     here = Window.partitionBy("gram", "part")
     # A row at its place needs a partner small enough; the smallest set in the bucket says whether there can be one.
     place, l = F.floor(F.col("at") / 16), F.col("at") % 16
     m = F.greatest(F.min("n").over(here), F.ceil(F.col("n") * percent / 100))
     t = F.ceil((F.col("n") + m) * percent / (100 + percent))
     rows = rows.withColumn("x", F.min("cls").over(here)).withColumn("y", F.max("cls").over(here)).withColumn("live", place < F.col("n") - t + l).where("part > 0 or x <> y")
-    idx = scratch.put(rows.select("gram", "cls", "n", "at", (F.col("live") | (F.col("part") > 0)).alias("live")).distinct())
+    one = rows.groupBy("gram", "part", "cls", "n", "at").agg(F.first(F.col("live") | (F.col("part") > 0)).alias("live"))
+    idx = scratch.put(one.select("gram", "cls", "n", "at", "live"))
     edges: DataFrame | None = None
     # The more of a class's prefix other classes share, the nearer it is to the middle of its group.
     label = idx.groupBy(F.col("cls").alias("node")).agg((F.count("*") * 1000 / F.first("n")).cast("long").alias("score"), F.count("*").alias("cnt"))
@@ -324,13 +334,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         new = scratch.put(new if edges is None else new.union(edges))
         return new, scratch.put(label.select("node", "score", "cnt").join(components(new, scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "score", "cnt"))
 
-    def open_rows() -> DataFrame:
-        """Index rows of n-grams that still meet more than one component."""
-        at = idx.where("live").drop("live").join(label.withColumnRenamed("node", "cls"), "cls")
+    def open_rows(rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` of the index whose n-grams still meet more than one component. Components only grow, so others never do again."""
+        at = rows.select("gram", "cls", "n", "at").join(label.withColumnRenamed("node", "cls"), "cls")
         mixed = at.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         return scratch.put(at.join(mixed.select("gram"), "gram", "left_semi"))
 
-    live = open_rows()
+    live = open_rows(idx.where("live"))
     for turn in range(4):
         # The hub: the most central class of the bucket, in every other turn the most central outside its component.
         best = F.max(F.struct("score", "cls", "n", "label", "cnt", F.col("at").alias("pb"))).alias("h")
@@ -350,8 +360,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not n_found:
             break
         edges, label = relabel(found)
-        scratch.drop(live)
-        live = open_rows()
+        before, live = live, open_rows(live)
+        scratch.drop(before)
         if n_found * 20 < n_tried:  # stars join little more
             break
         # Pairs across components that share an n-gram: few enough to look at each?
