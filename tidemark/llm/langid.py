@@ -70,7 +70,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             return pa.RecordBatch.from_arrays(cols, names=["lang", "gram", "n"])
 
         for b in batches:
-            for i, j in slices(text_lengths(b.column(1)), 2 << 20):
+            for i, j in slices(text_lengths(b.column(1)), 1 << 19):
                 texts, langs = b.column(1).slice(i, j - i).to_pylist(), b.column(0).slice(i, j - i).to_pylist()
                 for lang in set(langs):
                     codes = np.concatenate([ngrams(t) for t, x in zip(texts, langs, strict=True) if x == lang])
@@ -123,10 +123,13 @@ def predict_language(docs: DataFrame, profiles: list[tuple[str, int, int]], id_c
         for b in batches:
             found = [one(b.column(0)[i].as_py()) for i in range(b.num_rows)]
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(i) for i in range(1, b.num_columns))], names=["lang_pred", "score", *b.schema.names[1:]])
+            rest = range(0 if text_col in carry else 1, b.num_columns)
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(i) for i in rest)], names=["lang_pred", "score", *(named[i] for i in rest)])
 
-    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *carry)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    # A text that is carried goes to the worker and back as the column that is read, not as a second one.
+    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *(c for c in carry if c != text_col))
+    named = [text_col, *rows.columns[1:]]
+    kinds = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(named, rows.schema.fields, strict=True) if n != text_col or text_col in carry)
     return rows.mapInArrow(run, f"lang_pred string, score double, {kinds}").select("doc_id", "lang_pred", "score", *carry)
 
 
