@@ -22,9 +22,9 @@ def _only(docs: DataFrame, wanted: DataFrame, **keys) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: those predicted ``und``, which have no letter, go."""
-    row = F.struct(*docs.columns)
-    found = langid.identify(docs.withColumn("__row", row), carry=("__row",))
-    return found.where("lang_pred <> 'und'").select("__row.*")
+    own = {c: f"__{c}" for c in docs.columns}  # names that the operator's result doesn't have
+    found = langid.identify(docs.withColumnsRenamed(own), own["doc_id"], own["text"], own["lang"], carry=tuple(own.values()))
+    return found.where("lang_pred <> 'und'").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
