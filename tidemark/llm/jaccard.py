@@ -207,8 +207,8 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
 def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The sets of ``classes(cls)``, made anew by a scan, ``cls, s``.
 
-    A filter of fixed size tells the scan which classes are wanted. It lets some others through, and a class comes once
-    for each slice of a task that has a document of it.
+    A filter of fixed size tells the scan which classes are wanted; it lets some others through. A class comes once for
+    each task that has a document of it, and of those one is taken.
     """
     bits = 22
     place = F.pmod("cls", F.lit(1 << bits)) + 1
@@ -218,19 +218,19 @@ def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         marked[(r.i - 1) << 12 : r.i << 12] = np.frombuffer(bytes(r.m), np.uint8)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, sets, off in _sets(batches, k):
             a, _ = _ids(sets, off)
             at = a & ((1 << bits) - 1)
             rows = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (np.diff(off) > 0))
-            _, first = np.unique(a[rows], return_index=True)
-            rows = rows[first]
+            rows = rows[np.array([not (x in seen or seen.add(x)) for x in a[rows].tolist()], bool)]
             if len(rows):
                 n = np.diff(off)[rows]
                 take = np.repeat(off[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(sets[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(a[rows]), lists], names=["cls", "s"])
 
-    return docs.select("text").mapInArrow(make, "cls long, s array<long>")
+    return docs.select("text").mapInArrow(make, "cls long, s array<long>").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
