@@ -318,14 +318,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     m = F.greatest(F.min("n").over(here), F.ceil(F.col("n") * percent / 100))
     t = F.ceil((F.col("n") + m) * percent / (100 + percent))
     rows = rows.withColumn("x", F.min("cls").over(here)).withColumn("y", F.max("cls").over(here)).withColumn("live", place < F.col("n") - t + l).where("part > 0 or x <> y")
-    one = rows.groupBy("gram", "part", "cls", "n", "at").agg(F.first(F.col("live") | (F.col("part") > 0)).alias("live"))
-    idx = scratch.put(one.select("gram", "cls", "n", "at", "live"))
-    edges: DataFrame | None = None
+    alive = F.when(F.col("live"), F.col("cls"))
+    rows = rows.withColumn("x", F.min(alive).over(here)).withColumn("y", F.max(alive).over(here))
+    one = rows.groupBy("gram", "part", "cls", "n", "at").agg(F.first((F.col("part") > 0) | (F.col("live") & (F.col("x") < F.col("y")))).alias("live"))
+    # The index is kept by class, a prefix to a row: all that follows reads it from there.
+    held = one.groupBy("cls").agg(F.collect_list(F.struct("gram", (F.col("at") * 2 + F.col("live").cast("int")).alias("at"))).alias("rows"), F.first("n").alias("n"))
     # The more of a class's prefix other classes share, the nearer it is to the middle of its group.
-    label = idx.groupBy(F.col("cls").alias("node")).agg((F.count("*") * 1000 / F.first("n")).cast("long").alias("score"), F.count("*").alias("cnt"))
-    label = scratch.put(label.select("node", F.col("node").alias("label"), "score", "cnt"))
-    left = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("at") % 16, F.lit(0))
-    prefix = scratch.put(idx.groupBy("cls").agg(F.collect_list("gram").alias("g"), F.first("n").alias("n"), F.first(left).alias("left")))
+    cnt = F.size("rows").cast("long")
+    left = F.greatest(F.ceil(F.col("n") * percent / 100) - F.shiftright(F.col("rows")[0]["at"], 1) % 16, F.lit(0))
+    held = scratch.put(held.select("cls", "n", "rows", cnt.alias("cnt"), (cnt * 1000 / F.col("n")).cast("long").alias("score"), left.alias("left")))
+    prefix = held.select("cls", F.col("rows.gram").alias("g"), "n", "left")
+    label = held.select(F.col("cls").alias("node"), F.col("cls").alias("label"), "score", "cnt")
+    edges: DataFrame | None = None
     fits = _meet(percent)
     tried = None
 
@@ -340,7 +344,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = at.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         return scratch.put(at.join(mixed.select("gram"), "gram", "left_semi"))
 
-    live = open_rows(idx.where("live"))
+    live = held.select("cls", "n", F.col("cls").alias("label"), "score", "cnt", F.inline("rows")).where("at % 2 = 1")
+    live = live.withColumn("at", F.shiftright("at", 1))
     for turn in range(4):
         # The hub: the most central class of the bucket, in every other turn the most central outside its component.
         best = F.max(F.struct("score", "cls", "n", "label", "cnt", F.col("at").alias("pb"))).alias("h")
@@ -355,7 +360,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs)
         found = _verified(pairs, docs, percent, k, scratch)
-        tried = scratch.put(pairs if tried is None else tried.union(pairs))
+        tried = pairs if tried is None else tried.union(pairs)
         n_found, n_tried = found.count(), pairs.count()
         if not n_found:
             break
@@ -377,7 +382,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = scratch.put(pairs)
     found = _verified(pairs, docs, percent, k, scratch)
     edges, label = relabel(found)
-    scratch.drop(live, pairs, idx, prefix)
+    scratch.drop(live, pairs, held)
 
     # Names: the least identifier of each class, then of each component.
     cls = named.where("n > 0").groupBy("cls", "cls2").agg(F.min("id").alias("id"))
