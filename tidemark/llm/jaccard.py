@@ -14,7 +14,7 @@ enumerated in full, so no link is lost.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +111,25 @@ def _ids(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(n == 0, 0, a).astype(np.int64), np.where(n == 0, 0, b).astype(np.int64)
 
 
+def parities(sets: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A bit map of each set, of at least a bit for each element up to 2**20: which places an odd number of them fall on.
+
+    Two maps differ in no more places than their sets differ in elements. A longer map folds onto a shorter one.
+    """
+    n = np.diff(off)
+    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 6, 20))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(start[:-1], n) + (sets & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(odd)])
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Places in which two maps differ."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
     """(first columns, sets, offsets) for each slice of the batches; the text is the last column."""
     for b in batches:
@@ -163,13 +182,13 @@ def prefixes(sets: np.ndarray, off: np.ndarray, sketch: Sketch, percent: int, mo
 
 
 def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) -> tuple[DataFrame, Sketch]:
-    """The names and sizes of all sets, and counts of all n-grams of every document, from one scan.
+    """The names, sizes and maps of all sets, and counts of all n-grams of every document, from one scan.
 
     Each task sends its counters in 64 packed pieces, which meet 64 at a time.
     """
     piece = 1 << (bits - 6)
-    names = ["id", "n", "cls", "cls2", "part", "i", "counts"]
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    names = ["id", "n", "cls", "cls2", "map", "part", "i", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def packed(counts: np.ndarray) -> bytes:
         return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
@@ -180,10 +199,10 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
         total = np.zeros(1 << bits, np.int64)
         for (ids,), sets, off in _sets(batches, k):
             total += np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            cols = [ids, np.diff(off), *_ids(sets, off)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=False)] + [pa.nulls(len(ids), t) for t in kinds[4:]], names=names)
+            cols = [ids, np.diff(off), *_ids(sets, off), parities(sets, off)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=False)] + [pa.nulls(len(ids), t) for t in kinds[5:]], names=names)
         rows = [(TaskContext.get().partitionId(), i, packed(t)) for i in range(64) if (t := total[i * piece : (i + 1) * piece]).any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in kinds[:4]] + [pa.array([r[c] for r in rows], kinds[c + 4]) for c in range(3)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in kinds[:5]] + [pa.array([r[c] for r in rows], kinds[c + 5]) for c in range(3)], names=names)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(piece, np.int64)
@@ -191,7 +210,7 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"part": [table.column("part")[0].as_py()], "i": table.column("i").slice(0, 1), "counts": [packed(np.minimum(total, 2**32 - 1))]})
 
-    both = scratch.put(docs.mapInArrow(scan, "id long, n long, cls long, cls2 long, part long, i int, counts binary"))
+    both = scratch.put(docs.mapInArrow(scan, "id long, n long, cls long, cls2 long, map binary, part long, i int, counts binary"))
     parts, left = both.where("counts is not null").select("part", "i", "counts"), docs.rdd.getNumPartitions()
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part", "i").applyInArrow(add, "part long, i int, counts binary")
@@ -201,15 +220,11 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
     total = np.zeros(1 << bits, np.uint32)
     for r in parts.collect():  # 64 rows, 2**bits counters in all
         total[r.i * piece : (r.i + 1) * piece] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-    return both.where("counts is null").select("id", "n", "cls", "cls2"), Sketch(total)
+    return both.where("counts is null").select("id", "n", "cls", "cls2", "map"), Sketch(total)
 
 
-def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The sets of ``classes(cls)``, made anew by a scan, ``cls, s``.
-
-    A filter of fixed size tells the scan which classes are wanted; it lets some others through. A class comes once for
-    each task that has a document of it, and of those one is taken.
-    """
+def _filter(classes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A filter of fixed size for rows of ``classes(cls)``; it lets some others through."""
     bits = 22
     place = F.pmod("cls", F.lit(1 << bits)) + 1
     maps = classes.groupBy(F.bitmap_bucket_number(place).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 128 rows of 4 KB at most
@@ -217,12 +232,25 @@ def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     for r in maps:
         marked[(r.i - 1) << 12 : r.i << 12] = np.frombuffer(bytes(r.m), np.uint8)
 
+    def wanted(cls: np.ndarray) -> np.ndarray:
+        at = cls & ((1 << bits) - 1)
+        return (marked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    return wanted
+
+
+def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The sets of ``classes(cls)`` and of some others, made anew by a scan, ``cls, s``.
+
+    A class comes once for each task that has a document of it, and of those one is taken.
+    """
+    wanted = _filter(classes)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets, off in _sets(batches, k):
             a, _ = _ids(sets, off)
-            at = a & ((1 << bits) - 1)
-            rows = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (np.diff(off) > 0))
+            rows = np.flatnonzero(wanted(a) & (np.diff(off) > 0))
             rows = rows[np.array([not (x in seen or seen.add(x)) for x in a[rows].tolist()], bool)]
             if len(rows):
                 n = np.diff(off)[rows]
@@ -233,16 +261,41 @@ def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(make, "cls long, s array<long>").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+def _near(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose maps don't differ in more places than similar sets may in elements."""
+    wanted = _filter(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(wanted(x.column(0).to_numpy(zero_copy_only=False))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b, na, nb, ma, mb = (x.column(i) for i in range(6))
+            most = (na.to_numpy() + nb.to_numpy()) * (100 - percent)
+            ok = [differing(p.as_py(), q.as_py()) * (100 + percent) <= m for p, q, m in zip(ma, mb, most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    maps = named.where("n > 0").select("cls", "n", "map").mapInArrow(take, "cls long, n long, map binary").dropDuplicates(["cls"])
+    for side in "ab":
+        pairs = pairs.join(maps.toDF(side, f"n{side}", f"m{side}"), side)
+    return pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(compare, "a long, b long")
+
+
+def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """The ``pairs(a, b)`` whose sets are similar.
 
-    The set of ``b`` goes once to each 64 or so of its partners, which pass by it one at a time.
+    Those whose maps differ too much go first. The set of ``b`` goes once to each 64 or so of its partners, which pass
+    by it one at a time.
     """
+    if pairs.isEmpty():
+        return pairs
+    pairs = scratch.put(_near(pairs, named, percent))
     if pairs.isEmpty():
         return pairs
     dealt = pairs.join(pairs.groupBy("b").count(), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("count") / 64)).alias("part"))
-    named = dealt.select(F.col("a").alias("cls"), "a", "b", "part").union(dealt.select(F.col("b").alias("cls"), F.lit(None).cast("long"), "b", "part").distinct())
-    sets = _sets_of(named.select("cls").distinct(), docs, k).join(named, "cls")
+    sent = dealt.select(F.col("a").alias("cls"), "a", "b", "part").union(dealt.select(F.col("b").alias("cls"), F.lit(None).cast("long"), "b", "part").distinct())
+    sets = _sets_of(sent.select("cls").distinct(), docs, k).join(sent, "cls")
     so_far = Window.partitionBy("b", "part").orderBy(F.col("a").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     both = sets.select("a", "b", "part", "s").withColumn("sb", F.first("s").over(so_far)).where("a is not null")
     both = both.select("a", "b", (F.size("s") + F.size("sb")).alias("n"), F.size(F.array_intersect("s", "sb")).alias("i"))
@@ -359,7 +412,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs)
-        found = _verified(pairs, docs, percent, k, scratch)
+        found = _verified(pairs, named, docs, percent, k, scratch)
         tried = pairs if tried is None else tried.union(pairs)
         n_found, n_tried = found.count(), pairs.count()
         if not n_found:
@@ -380,7 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = _candidates(met, prefix, percent)
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     pairs = scratch.put(pairs)
-    found = _verified(pairs, docs, percent, k, scratch)
+    found = _verified(pairs, named, docs, percent, k, scratch)
     edges, label = relabel(found)
     scratch.drop(live, pairs, held)
 
