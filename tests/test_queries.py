@@ -54,3 +54,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.stats.n, r.stats.mu) for r in spark.table("w").collect()) == [(60, 29.5), (60, 89.5)]
+
+
+BIG = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables")
+def test_flatmap_takes_all_of_part(spark):
+    part = spark.read.parquet(f"{BIG}/part.parquet").select("p_partkey", "p_size").collect()
+    want = sorted((r.p_partkey, x) for r in part for x in range(r.p_size % 4 + 1))
+    assert sorted(map(tuple, Q.queries()["q_rdd_flatmap_all"](spark, BIG).collect())) == want
