@@ -64,3 +64,12 @@ def test_flatmap_takes_all_of_part(spark):
     part = spark.read.parquet(f"{BIG}/part.parquet").select("p_partkey", "p_size").collect()
     want = sorted((r.p_partkey, x) for r in part for x in range(r.p_size % 4 + 1))
     assert sorted(map(tuple, Q.queries()["q_rdd_flatmap_all"](spark, BIG).collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables")
+def test_product_takes_all_of_part_in_several_groups(spark):
+    part = spark.read.parquet(f"{BIG}/part.parquet").select("p_size").collect()
+    want = 1
+    for r in part:
+        want = want * (r.p_size % 5 + 1) % 1000003
+    assert len(part) > 2 * 4096 and Q.queries()["q_reduce_product_mod"](spark, BIG).collect() == [(want,)]

@@ -87,6 +87,7 @@ _add("q_reduce_max", lambda s, d: _series("orders", "o_totalprice", "o_orderkey"
 _add("q_reduce_min", lambda s, d: _series("orders", "o_totalprice", "o_orderkey")(s, d).reduce_df("return min(x, y);", float("inf")), "select min(o_totalprice) as value from orders")
 _add("q_reduce_bitxor", lambda s, d: sizes(s, d).reduce_df("return x ^ y;", 0), "select bit_xor(p_size) as value from part")
 _add("q_reduce_product", lambda s, d: sizes(s, d).where("k0 < 10").map("x % 5 + 1", "long").reduce_df("return x * y;", 1), "select product(p_size % 5 + 1)::bigint as value from part where p_partkey < 10")
+_add("q_reduce_product_mod", lambda s, d: sizes(s, d).map("x % 5 + 1", "long").reduce_df("return (x * y) % 1000003;", 1), "select list_reduce(list((p_size % 5 + 1)::bigint), lambda x, y: (x * y) % 1000003) as value from part")
 _add("q_reduce_body", lambda s, d: sizes(s, d).to("long").reduce_df("if (x > y) { return x; } return y;", -1), "select max(p_size)::bigint as value from part")
 
 
