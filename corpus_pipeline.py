@@ -21,10 +21,11 @@ def _only(docs: DataFrame, wanted: DataFrame, **keys) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told: those predicted ``und``, which have no letter, go."""
+    """Documents that have a letter. Those without, and null texts, go; ``und`` alone rejects nothing, as it is given to every text when no language was learned."""
     own = {c: f"__{c}" for c in docs.columns}  # names that the operator's result doesn't have
     found = langid.identify(docs.withColumnsRenamed(own), own["doc_id"], own["text"], own["lang"], carry=tuple(own.values()))
-    return found.where("lang_pred <> 'und'").select(*(F.col(n).alias(c) for c, n in own.items()))
+    letter = F.when(F.col("lang_pred") != "und", True).otherwise(F.col(own["text"]).rlike(r"\p{L}"))
+    return found.where(letter).select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     m = sentencepiece.SentencePieceProcessor(model_file=model_path())
     assert {r.doc_id: r.ids for r in kept[4]} == {r.doc_id: m.encode(r.text) for r in kept[3]}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_language_stage_without_a_language(spark):
+    texts = ["one two three", "été", "\U00010400", "123 456", " \n", "", None]
+    docs = table(spark, [(i, t, None, "src0") for i, t in enumerate(texts)]).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [0, 1, 2]
