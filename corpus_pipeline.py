@@ -40,9 +40,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of least identifier."""
-    groups = jaccard.jaccard_components(docs)
-    return _only(docs, groups.where("doc_id <=> component_id").select("doc_id"), doc_id=F.col("doc_id"))
+    """One document of each group of near copies, the one of least identifier, then of least digest; a null identifier comes last.
+
+    Identifiers may repeat or be null: a row is known by identifier and digest. Of rows that repeat both one stays.
+    """
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    scratch = Scratch(spark, "drop_near_copies")
+    rows = scratch.put(jaccard.jaccard_rows(docs, digest).select("doc_id", "key", "label"))
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("x"))
+    kept = scratch.put(first.select("x.doc_id", "x.key").union(rows.where("label is null").select("doc_id", "key")))
+    out = _only(docs, kept, doc_id=F.col("doc_id"), key=digest)
+    if rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        return out
+    return out.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,12 @@ def test_language_stage_without_a_language(spark):
     texts = ["one two three", "été", "\U00010400", "123 456", " \n", "", None]
     docs = table(spark, [(i, t, None, "src0") for i, t in enumerate(texts)]).select("doc_id", "text", "lang", "source", "n_chars")
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [0, 1, 2]
+
+
+def test_one_of_each_group_by_repeated_and_null_ids(spark):
+    w, v, u = ("a b c d e f g h i j k l m n o p q r s t".replace(" ", f"{x} ") for x in "xyz")
+    rows = [(7, w), (7, w + " more"), (9, w + " again"), (None, v), (None, v + " more"), (None, u), (None, u + " more"), (7, u + " again"), (3, ""), (3, " "), (8, "alone here"), (8, "alone here"), (None, "by itself")]
+    docs = table(spark, [(i, t, "en", "src0") for i, t in rows]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    groups = [{(7, w), (7, w + " more")}, {(None, v), (None, v + " more")}, {(7, u + " again")}, {(3, "")}, {(3, " ")}, {(8, "alone here")}, {(None, "by itself")}]
+    assert len(got) == len(groups) and all(len(g & set(got)) == 1 for g in groups), got

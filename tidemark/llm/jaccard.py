@@ -182,13 +182,13 @@ def prefixes(sets: np.ndarray, off: np.ndarray, sketch: Sketch, percent: int, mo
 
 
 def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) -> tuple[DataFrame, Sketch]:
-    """The names, sizes and maps of all sets, and counts of all n-grams of every document, from one scan.
+    """The names, sizes and maps of all sets, with the row's ``key``, and counts of all n-grams of every document, from one scan.
 
     Each task sends its counters in 64 packed pieces, which meet 64 at a time.
     """
     piece = 1 << (bits - 6)
-    names = ["id", "n", "cls", "cls2", "map", "part", "i", "counts"]
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["id", "key", "n", "cls", "cls2", "map", "part", "i", "counts"]
+    kinds = [pa.int64(), pa.binary()] + [pa.int64()] * 3 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def packed(counts: np.ndarray) -> bytes:
         return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
@@ -197,12 +197,12 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
         from pyspark import TaskContext
 
         total = np.zeros(1 << bits, np.int64)
-        for (ids,), sets, off in _sets(batches, k):
+        for (ids, keys), sets, off in _sets(batches, k):
             total += np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            cols = [ids, np.diff(off), *_ids(sets, off), parities(sets, off)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=False)] + [pa.nulls(len(ids), t) for t in kinds[5:]], names=names)
+            cols = [ids, keys, np.diff(off), *_ids(sets, off), parities(sets, off)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=False)] + [pa.nulls(len(ids), t) for t in kinds[6:]], names=names)
         rows = [(TaskContext.get().partitionId(), i, packed(t)) for i in range(64) if (t := total[i * piece : (i + 1) * piece]).any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in kinds[:5]] + [pa.array([r[c] for r in rows], kinds[c + 5]) for c in range(3)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in kinds[:6]] + [pa.array([r[c] for r in rows], kinds[c + 6]) for c in range(3)], names=names)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(piece, np.int64)
@@ -210,7 +210,7 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"part": [table.column("part")[0].as_py()], "i": table.column("i").slice(0, 1), "counts": [packed(np.minimum(total, 2**32 - 1))]})
 
-    both = scratch.put(docs.mapInArrow(scan, "id long, n long, cls long, cls2 long, map binary, part long, i int, counts binary"))
+    both = scratch.put(docs.mapInArrow(scan, "id long, key binary, n long, cls long, cls2 long, map binary, part long, i int, counts binary"))
     parts, left = both.where("counts is not null").select("part", "i", "counts"), docs.rdd.getNumPartitions()
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part", "i").applyInArrow(add, "part long, i int, counts binary")
@@ -220,7 +220,7 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
     total = np.zeros(1 << bits, np.uint32)
     for r in parts.collect():  # 64 rows, 2**bits counters in all
         total[r.i * piece : (r.i + 1) * piece] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-    return both.where("counts is null").select("id", "n", "cls", "cls2", "map"), Sketch(total)
+    return both.where("counts is null").select("id", "key", "n", "cls", "cls2", "map"), Sketch(total)
 
 
 def _filter(classes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
@@ -341,9 +341,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     identifier takes part, but gives its component no name unless it stands alone, when ``component_id`` is null. An
     empty table gives an empty result; other columns are not read. Words are compared by 64-bit hashes.
     """
+    return jaccard_rows(docs, None, id_col, text_col, percent, k, most_l, sketch_bits).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, most_l: int = 6, sketch_bits: int = 21) -> DataFrame:
+    """As :func:`jaccard_components`, with ``key``, a binary that goes with the row, and ``label``.
+
+    Identifiers may repeat or be null, so that components can share a ``component_id``; ``label`` tells components apart
+    and is null for an empty set, which links with nothing.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(None) if key is None else key).cast("binary").alias("key"), F.col(text_col).cast("string").alias("text"))
     named, sketch = _named_and_counted(docs, sketch_bits, k, scratch)
     shared = spark.sparkContext.broadcast(zlib.compress(sketch.counts.tobytes(), 1))
 
@@ -442,6 +451,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cls = cls.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     cls = scratch.put(cls)
     least = cls.groupBy("label").agg(F.min("id").alias("least"))
-    cls = cls.join(least, "label").select("cls", "cls2", "least")
+    cls = cls.join(least, "label").select("cls", "cls2", "label", "least")
     out = named.join(cls, ["cls", "cls2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "key", "label")
