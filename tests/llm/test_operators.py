@@ -133,6 +133,23 @@ def test_html(html, want):
     assert html_extract.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ("<section id='discussion'><h2 id='search'>Head</h2><p>More text here.</p></section>", ["Head", "More text here."]),
+        ("<section id='related-work'><p>More text here.</p></section>", ["More text here."]),
+        ("<h2><span id='Share'>Head</span></h2><p>More text here.</p>", ["Head", "More text here."]),
+        ("<section id='related-posts'><p>Other pages.</p></section>", []),
+        ("<section id='comments'><p>A reader says.</p></section>", []),
+        ("<section class='comments' id='discussion'><p>A reader says.</p></section>", []),
+        ("<div id='share-buttons'>Share this</div>", []),
+    ],
+)
+def test_html_ids_in_an_article(part, want):
+    lead = "A first paragraph of the article that is long enough to be its content."
+    assert html_extract.main_text(f"<html><body><article><p>{lead}</p>{part}</article></body></html>") == "\n\n".join([lead, *want])
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (None, None, None, "t"), (1, "u", "<p>a b</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_extract.extract(df).collect())) == sorted(["Row(page_id=1, url='u', text='a b', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])

@@ -24,12 +24,20 @@ MARK = frozenset(
 )
 #: A name with one of these says what a content element has or lacks beside it.
 BESIDE = frozenset("has with no without".split())
+#: Marks that a section of an article can be about; as its id they need a word of BUILT beside them.
+TOPIC = MARK - frozenset("ad ads advert adverts comments commentlist replies respond disqus sidebar aside widget navbar masthead topbar breadcrumb breadcrumbs pagination pager toolbar".split())
+BUILT = frozenset("list box bar button buttons icons links posts articles stories items area container wrapper widget form thread block panel banner".split())
 
 
-def marked(names: str, in_article: bool) -> bool:
-    """Whether a class, id or role names something that is left out. Outside an article a header is, too."""
+def marked(names: str, in_article: bool, anchor: bool = False) -> bool:
+    """Whether a class, id or role names something that is left out. Outside an article a header is, too.
+
+    ``anchor``: the name is the id of a section in an article, which says what the section is about.
+    """
     for name in names.lower().split():
         parts = re.split(r"[-_]+|(?<=[a-z])(?=\d)", name)
+        if anchor and not (MARK - TOPIC).intersection(parts) and not any(t != b for t in TOPIC.intersection(parts) for b in BUILT.intersection(parts)):
+            continue
         if not BESIDE.intersection(parts) and (MARK.intersection(parts) or not in_article and "header" in parts):
             return True
     return False
@@ -81,7 +89,10 @@ class Lines(HTMLParser):
         if attrs and tag not in ("html", "body", "main"):
             for k, v in attrs:
                 if k in ("class", "id", "role") and v:
-                    if marked(v, bool(flags & 2)):
+                    inside = bool(flags & 2)
+                    if inside and k == "id" and (tag in HEADING or tag in ("a", "span")):
+                        continue  # a link's target, named for the words there
+                    if marked(v, inside, inside and k == "id" and tag == "section"):
                         flags |= 1
                     elif k == "role" and v == "main":
                         flags |= 2
@@ -184,6 +195,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     The page is parsed as a stream; each block is a line, with its text and the tags it holds. Menus, headers, footers,
     side bars, notices, adverts, forms, scripts, styles and reader comments are left out by element, role, class or id.
+    In an article the id of a heading, link or span leaves nothing out, and that of a section only if it says more than
+    what the section may be about: ``related-posts`` does, ``related-work`` and ``discussion`` don't.
     For the other lines the text-to-tag ratio is smoothed by a Gaussian of ``sigma`` lines and cut at its standard
     deviation, which clusters them into content and the rest; the regions that hold content are kept whole: the
     article or main elements if one of them does, else containers that do. Character references are decoded, white
