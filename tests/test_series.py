@@ -139,3 +139,14 @@ def test_plans(spark):
     assert plan(s.map("x + 1").map("x * 2").df).count("Project") == 1
     assert "partial_sum" in plan(s.sum_df())
     assert s.cache() is s and s.sum() == 499500 and s.uncache() is s
+
+
+def test_zip_of_unequal_lengths_fails(spark):
+    a, b = shuffled(spark, [1.0, 2.0, 3.0]), shuffled(spark, [4.0, 5.0])
+    assert sorted(map(tuple, a.zip(a.map("x + 1")).collect())) == [(0, 1.0, 2.0), (1, 2.0, 3.0), (2, 3.0, 4.0)]
+    for x, y in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="differ in length"):
+            x.zip(y).collect()
+        with pytest.raises(Exception, match="differ in length"):
+            x.zip(y).count()
+    assert a.zip(b, strict=False).count() == 2

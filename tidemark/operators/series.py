@@ -189,9 +189,14 @@ class Series:
     def subtract(self, other: Series) -> DataFrame:
         return self.df.select("x").exceptAll(other.df.select("x"))
 
-    def zip(self, other: Series) -> DataFrame:
-        """Elements of equal position: ``idx, x, y``."""
-        return self.indexed.join(other.indexed.withColumnRenamed("x", "y"), "idx")
+    def zip(self, other: Series, strict: bool = True) -> DataFrame:
+        """Elements of equal position: ``idx, x, y``. Reading it fails if one series is longer, unless not ``strict``, when the rest of that one is left out."""
+        a, b = self.indexed, other.indexed.withColumnRenamed("x", "y")
+        if not strict:
+            return a.join(b, "idx")
+        both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), "idx", "full")
+        uneven = F.raise_error(F.lit("zip: the series differ in length")).cast("boolean")
+        return both.where(F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), True).otherwise(uneven)).select("idx", "x", "y")
 
     def histogram(self, low: float, high: float, buckets: int) -> DataFrame:
         """Counts by bucket of one width in [low, high], the last one closed; ``bucket, n``."""

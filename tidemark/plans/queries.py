@@ -145,7 +145,8 @@ _customers = _series("customer", "c_nationkey", "c_custkey")
 _add("q_rdd_union", lambda s, d: _nations(s, d).union(_customers(s, d)), "select n_nationkey x from nation union all select c_nationkey from customer")
 _add("q_rdd_intersect", lambda s, d: _nations(s, d).intersect(_customers(s, d)), "select n_nationkey x from nation intersect select c_nationkey from customer")
 _add("q_rdd_subtract", lambda s, d: _customers(s, d).subtract(_nations(s, d)), "select c_nationkey x from customer except all select n_nationkey from nation")
-_add("q_rdd_zip", lambda s, d: _nations(s, d).zip(_customers(s, d)), "select a.idx, a.x, b.x y from (select row_number() over (order by n_nationkey) - 1 idx, n_nationkey x from nation) a join (select row_number() over (order by c_custkey) - 1 idx, c_nationkey x from customer) b using (idx)")
+_add("q_rdd_zip", lambda s, d: _nations(s, d).zip(_customers(s, d), strict=False), "select a.idx, a.x, b.x y from (select row_number() over (order by n_nationkey) - 1 idx, n_nationkey x from nation) a join (select row_number() over (order by c_custkey) - 1 idx, c_nationkey x from customer) b using (idx)")
+_add("q_rdd_zip_equal", lambda s, d: _customers(s, d).zip(_series("customer", "cast(round(c_acctbal * 100) as bigint)", "c_custkey")(s, d)), "select row_number() over (order by c_custkey) - 1 idx, c_nationkey x, round(c_acctbal * 100)::bigint y from customer")
 _add("q_rdd_flatmap", lambda s, d: sizes(s, d).where("k0 < 50").df.select("k0", F.explode(F.sequence(F.lit(0), F.col("x") % 4)).alias("x")), "select p_partkey k0, unnest(range(0, p_size % 4 + 1))::int x from part where p_partkey < 50")
 _add("q_rdd_flatmap_all", lambda s, d: sizes(s, d).df.select("k0", F.explode(F.sequence(F.lit(0), F.col("x") % 4)).alias("x")), "select p_partkey k0, unnest(range(0, p_size % 4 + 1))::int x from part")
 _add("q_rdd_join", lambda s, d: _table(s, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("x")).join(_table(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("y")), "k"), "select c_nationkey k, c_custkey x, s_suppkey y from customer join supplier on c_nationkey = s_nationkey")
