@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: tables between steps need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,6 +51,13 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Give back the memory that a task no longer uses; Spark keeps its Python workers for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths add up to about ``most``; a longer row stands alone."""
     ends = np.cumsum(lengths)
@@ -77,14 +87,55 @@ def text_lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+#: Edges that one task contracts.
+EDGES = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what the edges connect: every node but the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[rest], nodes[root[rest]]
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars; what is held grows with its nodes, not with its edges."""
+    u, v, more = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for b in batches:
+        more.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        if sum(len(x[0]) for x in more) > max(EDGES, len(u)):
+            u, v = forest(*(np.concatenate([y, *(x[i] for x in more)]) for i, y in enumerate((u, v))))
+            more = []
+    u, v = forest(*(np.concatenate([y, *(x[i] for x in more)]) for i, y in enumerate((u, v))))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected ``edges(u, v)`` as ``(node, label)``, label the least node of each.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) on written edge tables until they no
-    longer change. A step is an aggregate and a join; no neighbourhood is gathered in a task and nothing but a
-    count and a checksum reaches the driver. Nodes without an edge to another node don't appear.
+    Each task contracts its edges, ``EDGES`` or so, to stars. If the stars of different tasks meet, the large-star and
+    small-star steps of Kiveris et al. (2014) and contraction alternate on written edge tables until all is stars. A
+    step is an aggregate and a join; no neighbourhood is gathered in a task and nothing but counts reaches the driver.
+    Nodes without an edge to another node don't appear.
     """
 
+    def stars(e: DataFrame) -> DataFrame:
+        n = scratch.put(e)
+        few = n.coalesce(max(1, -(-n.count() // EDGES)))
+        out = scratch.put(few.mapInArrow(contract, "u long, v long"))
+        scratch.drop(n)
+        return out
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         # Written, so that the join below has a plain exchange on either side, which Spark can split at a hub.
@@ -96,16 +147,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             out = out.union(least.select("u", F.col("m").alias("v")))
         return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    now = scratch.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    now = stars(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or above = 1 and below = 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
-        before = mark
         large = scratch.put(star(now, True))
         scratch.drop(now)
-        now = scratch.put(star(large, False))
+        now = stars(star(large, False))
         scratch.drop(large)

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, components, slices, text_bytes, text_lengths
+from tidemark.llm.common import Scratch, components, release, slices, text_bytes, text_lengths
 
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: The ranks that the counts of n-grams are told apart by, on a scale of powers of two.
+RANKS = 1 << 20
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _FACTOR = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -50,17 +52,43 @@ def _powers(base: int, n: int) -> np.ndarray:
     if len(have) < n:
         have = np.full(max(n, SLICE + 4096), base, np.uint64)
         have[0] = 1
-        have = np.multiply.accumulate(have)
-        if len(have) <= 2 * SLICE:
-            _POWERS[base, 0] = have
+        have = _POWERS[base, 0] = np.multiply.accumulate(have)
     return have[:n]
 
 
+def _long_text(raw: np.ndarray) -> np.ndarray:
+    """The hashes of the words of one text, a block of it at a time; a block ends before a space, or else in a word."""
+    out, at = [], 0
+    while at < len(raw):
+        block = raw[at : at + SLICE]
+        if at + len(block) < len(raw):
+            space = np.flatnonzero(_SPACE[block])
+            if len(space):
+                block = block[: space[-1] + 1]
+            else:  # a word longer than a block
+                value, n, power = 0, 0, 1
+                while at < len(raw) and not _SPACE[raw[at]]:
+                    piece = raw[at : at + SLICE]
+                    space = np.flatnonzero(_SPACE[piece])
+                    piece = _LOWER[piece[: space[0]] if len(space) else piece]
+                    value += power * int((_BYTE[piece] * _powers(_BASE, len(piece))).sum(dtype=np.uint64))
+                    power = power * pow(_BASE, len(piece), 1 << 64) % (1 << 64)
+                    n, at = n + len(piece), at + len(piece)
+                out.append(mix(np.array([value % (1 << 64)], np.uint64) ^ np.array([n], np.uint64) << np.uint64(40)))
+                continue
+        out.append(word_hashes(block, np.array([0, len(block)]))[0])
+        at += len(block)
+    return np.concatenate(out)
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts laid end to end, and the number of words before each text.
 
     A-Z are lower-cased and words are what stands between the bytes 9 to 13 and 32.
     """
+    if len(off) == 2 and len(raw) > SLICE:
+        words = _long_text(raw)
+        return words, np.array([0, len(words)])
     raw = _LOWER[raw]
     space = _SPACE[raw]
     starts = ~space
@@ -140,21 +168,28 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 class Sketch:
-    """Counters of n-grams by some of their bits: never too low, too high by about the mean load."""
+    """Counters of n-grams by some of their bits: never too low, too high by about the mean load.
+
+    A count is told by its rank, on a scale of powers of two that no count of 32 bits goes beyond.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts, self.bits = counts, int(len(counts)).bit_length() - 1
         mean = float(counts.mean())
         self.noise = mean + 4 * mean**0.5
 
-    def __call__(self, sets: np.ndarray) -> np.ndarray:
-        return self.counts[sets >> np.uint64(64 - self.bits)]
+    def ranks(self, sets: np.ndarray) -> np.ndarray:
+        return (np.log2(self.counts[sets >> np.uint64(64 - self.bits)].astype(np.float64) + 1) * (RANKS // 32 - 1)).astype(np.uint64)
+
+    @staticmethod
+    def count(ranks: np.ndarray) -> np.ndarray:
+        return np.exp2(ranks.astype(np.float64) / (RANKS // 32 - 1)) - 1
 
 
 def prefixes(sets: np.ndarray, off: np.ndarray, sketch: Sketch, percent: int, most_l: int) -> tuple[np.ndarray, ...]:
     """Key, document, place and l of the prefix of each set in the global order, and the count of each key.
 
-    A key is 21 bits of the count and 43 of the hash. Two n-grams of one key count as one n-gram that a document may
+    A key is 21 bits of the count's rank and 43 of the hash. Two n-grams of one key count as one n-gram that a document may
     have twice; that can add candidates and loses none.
 
     For each l the cost is the index rows that the prefix would meet plus twice the candidates that could share l of
@@ -162,11 +197,10 @@ def prefixes(sets: np.ndarray, off: np.ndarray, sketch: Sketch, percent: int, mo
     """
     n = np.diff(off)
     doc = np.repeat(np.arange(len(n)), n)
-    key = np.minimum(sketch(sets), (1 << 20) - 1).astype(np.uint64) << np.uint64(43) | sets & np.uint64((1 << 43) - 1)
+    key = sketch.ranks(sets) << np.uint64(43) | sets & np.uint64((1 << 43) - 1)
     for x, y in zip(off[:-1], off[1:], strict=True):
         key[x:y].sort()
-    count = key >> np.uint64(43)
-    others = np.maximum(count - sketch.noise, 0.0)
+    others = np.maximum(sketch.count(key >> np.uint64(43)) - sketch.noise, 0.0)
     total = np.concatenate([[0.0], np.cumsum(others)])
     need = -(-n * percent // 100)
     best, cost = np.ones(len(n), np.int64), np.full(len(n), np.inf)
@@ -187,8 +221,8 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
     Each task sends its counters in 64 packed pieces, which meet 64 at a time.
     """
     piece = 1 << (bits - 6)
-    names = ["id", "key", "n", "cls", "cls2", "map", "part", "i", "counts"]
-    kinds = [pa.int64(), pa.binary()] + [pa.int64()] * 3 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["id", "key", "th", "n", "cls", "cls2", "map", "part", "i", "counts"]
+    kinds = [pa.int64(), pa.binary()] + [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def packed(counts: np.ndarray) -> bytes:
         return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
@@ -196,13 +230,16 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << bits, np.int64)
-        for (ids, keys), sets, off in _sets(batches, k):
-            total += np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            cols = [ids, keys, np.diff(off), *_ids(sets, off), parities(sets, off)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=False)] + [pa.nulls(len(ids), t) for t in kinds[6:]], names=names)
+        total = np.zeros(1 << bits, np.uint32)
+        for (ids, keys, th), sets, off in _sets(batches, k):
+            at, n = np.unique(sets >> np.uint64(64 - bits), return_counts=True)
+            total[at] += n.astype(np.uint32)
+            cols = [ids, keys, th, np.diff(off), *_ids(sets, off), parities(sets, off)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=False)] + [pa.nulls(len(ids), t) for t in kinds[7:]], names=names)
         rows = [(TaskContext.get().partitionId(), i, packed(t)) for i in range(64) if (t := total[i * piece : (i + 1) * piece]).any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in kinds[:6]] + [pa.array([r[c] for r in rows], kinds[c + 6]) for c in range(3)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), t) for t in kinds[:7]] + [pa.array([r[c] for r in rows], kinds[c + 7]) for c in range(3)], names=names)
+        del total
+        release()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(piece, np.int64)
@@ -210,7 +247,7 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         return pa.table({"part": [table.column("part")[0].as_py()], "i": table.column("i").slice(0, 1), "counts": [packed(np.minimum(total, 2**32 - 1))]})
 
-    both = scratch.put(docs.mapInArrow(scan, "id long, key binary, n long, cls long, cls2 long, map binary, part long, i int, counts binary"))
+    both = scratch.put(docs.mapInArrow(scan, "id long, key binary, th long, n long, cls long, cls2 long, map binary, part long, i int, counts binary"))
     parts, left = both.where("counts is not null").select("part", "i", "counts"), docs.rdd.getNumPartitions()
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part", "i").applyInArrow(add, "part long, i int, counts binary")
@@ -220,86 +257,84 @@ def _named_and_counted(docs: DataFrame, bits: int, k: int, scratch: Scratch) ->
     total = np.zeros(1 << bits, np.uint32)
     for r in parts.collect():  # 64 rows, 2**bits counters in all
         total[r.i * piece : (r.i + 1) * piece] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-    return both.where("counts is null").select("id", "key", "n", "cls", "cls2", "map"), Sketch(total)
+    return both.where("counts is null").select("id", "key", "th", "n", "cls", "cls2", "map"), Sketch(total)
 
 
-def _filter(classes: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-    """A filter of fixed size for rows of ``classes(cls)``; it lets some others through."""
-    bits = 22
-    place = F.pmod("cls", F.lit(1 << bits)) + 1
-    maps = classes.groupBy(F.bitmap_bucket_number(place).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # 128 rows of 4 KB at most
-    marked = np.zeros(1 << (bits - 3), np.uint8)
+def _filter(values: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A filter for the ``n`` rows of ``values(x)``, of 16 bits a row up to 2**28 (32 MB) in all; it lets some others through."""
+    bits = min(28, max(16, (16 * n).bit_length()))
+    place = F.pmod("x", F.lit(1 << bits)) + 1
+    maps = values.groupBy(F.bitmap_bucket_number(place).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()  # maps of 4 KB
+    marked = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
     for r in maps:
         marked[(r.i - 1) << 12 : r.i << 12] = np.frombuffer(bytes(r.m), np.uint8)
+    shared = values.sparkSession.sparkContext.broadcast(zlib.compress(marked.tobytes(), 1))
+    held: list[np.ndarray] = []
 
-    def wanted(cls: np.ndarray) -> np.ndarray:
-        at = cls & ((1 << bits) - 1)
-        return (marked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    def wanted(x: np.ndarray) -> np.ndarray:
+        if not held:
+            held.append(np.frombuffer(zlib.decompress(shared.value), np.uint8))
+        at = x & ((1 << bits) - 1)
+        return (held[0][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     return wanted
 
 
-def _sets_of(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The sets of ``classes(cls)`` and of some others, made anew by a scan, ``cls, s``.
+def _sets_of(texts: DataFrame, n: int, docs: DataFrame, k: int) -> DataFrame:
+    """The sets of the texts whose hashes are the ``n`` rows of ``texts(x)``, and of some others, made anew by a scan, ``cls, s``.
 
-    A class comes once for each task that has a document of it, and of those one is taken.
+    A class comes once for each task that has such a text of it, and of those one is taken.
     """
-    wanted = _filter(classes)
+    wanted = _filter(texts, n)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, sets, off in _sets(batches, k):
+        few = (x for b in batches if (x := b.filter(pa.array(wanted(b.column(0).to_numpy(zero_copy_only=False))))).num_rows)
+        for _, sets, off in _sets(few, k):
             a, _ = _ids(sets, off)
-            rows = np.flatnonzero(wanted(a) & (np.diff(off) > 0))
+            rows = np.flatnonzero(np.diff(off) > 0)
             rows = rows[np.array([not (x in seen or seen.add(x)) for x in a[rows].tolist()], bool)]
             if len(rows):
                 n = np.diff(off)[rows]
                 take = np.repeat(off[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(sets[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(a[rows]), lists], names=["cls", "s"])
+        release()
 
-    return docs.select("text").mapInArrow(make, "cls long, s array<long>").dropDuplicates(["cls"])
-
+    return docs.select("th", "text").mapInArrow(make, "cls long, s array<long>").dropDuplicates(["cls"])
 
-def _near(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose maps don't differ in more places than similar sets may in elements."""
-    wanted = _filter(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield x.filter(pa.array(wanted(x.column(0).to_numpy(zero_copy_only=False))))
+def _near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b, la, lb)`` whose maps don't differ in more places than similar sets may in elements, with the hashes of a text of each, ``ta, tb``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            a, b, na, nb, ma, mb = (x.column(i) for i in range(6))
+            na, nb, ma, mb = (x.column(c) for c in ("na", "nb", "mapa", "mapb"))
             most = (na.to_numpy() + nb.to_numpy()) * (100 - percent)
             ok = [differing(p.as_py(), q.as_py()) * (100 + percent) <= m for p, q, m in zip(ma, mb, most.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([x.column(i) for i in range(6)], names=["a", "b", "la", "lb", "tha", "thb"]).filter(pa.array(ok, pa.bool_()))
 
-    maps = named.where("n > 0").select("cls", "n", "map").mapInArrow(take, "cls long, n long, map binary").dropDuplicates(["cls"])
     for side in "ab":
-        pairs = pairs.join(maps.toDF(side, f"n{side}", f"m{side}"), side)
-    return pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(compare, "a long, b long")
+        pairs = pairs.join(held.select(F.col("cls").alias(side), *(F.col(c).alias(c + side) for c in ("n", "map", "th"))), side)
+    return pairs.select("a", "b", "la", "lb", "tha", "thb", "na", "nb", "mapa", "mapb").mapInArrow(compare, "a long, b long, la long, lb long, tha long, thb long")
 
 
-def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
-    """The ``pairs(a, b)`` whose sets are similar.
+def _verified(pairs: DataFrame, n: int, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+    """Those of the ``n`` rows ``pairs(a, b, la, lb, tha, thb)`` whose sets are similar.
 
-    Those whose maps differ too much go first. The set of ``b`` goes once to each 64 or so of its partners, which pass
-    by it one at a time.
+    The set of ``b`` goes once to each 64 or so of its partners, which pass by it one at a time.
     """
-    if pairs.isEmpty():
-        return pairs
-    pairs = scratch.put(_near(pairs, named, percent))
-    if pairs.isEmpty():
-        return pairs
-    dealt = pairs.join(pairs.groupBy("b").count(), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("count") / 64)).alias("part"))
-    sent = dealt.select(F.col("a").alias("cls"), "a", "b", "part").union(dealt.select(F.col("b").alias("cls"), F.lit(None).cast("long"), "b", "part").distinct())
-    sets = _sets_of(sent.select("cls").distinct(), docs, k).join(sent, "cls")
+    names = ["a", "b", "la", "lb"]
+    if not n:
+        return pairs.select(*names)
+    dealt = pairs.join(pairs.groupBy("b").count(), "b").select(*names, F.pmod(F.xxhash64("a"), F.ceil(F.col("count") / 64)).alias("part"))
+    none = F.lit(None).cast("long")
+    sent = dealt.select(F.col("a").alias("cls"), *names, "part").union(dealt.select(F.col("b").alias("cls"), none, "b", none, none, "part").distinct())
+    sets = _sets_of(pairs.select(F.col("tha").alias("x")).union(pairs.select("thb")), 2 * n, docs, k).join(sent, "cls")
     so_far = Window.partitionBy("b", "part").orderBy(F.col("a").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    both = sets.select("a", "b", "part", "s").withColumn("sb", F.first("s").over(so_far)).where("a is not null")
-    both = both.select("a", "b", (F.size("s") + F.size("sb")).alias("n"), F.size(F.array_intersect("s", "sb")).alias("i"))
-    return scratch.put(both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b").distinct())
+    both = sets.select(*names, "part", "s").withColumn("sb", F.first("s").over(so_far)).where("a is not null")
+    both = both.select(*names, (F.size("s") + F.size("sb")).alias("n"), F.size(F.array_intersect("s", "sb")).alias("i"))
+    return scratch.put(both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select(*names))
 
 
 def _meet(percent: int) -> Column:
@@ -317,21 +352,21 @@ def _meet(percent: int) -> Column:
     return (i < F.col("n") - t + least) & (j < F.col("m") - t + least) & (most >= t) & (shared >= t)
 
 
-def _candidates(met: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of rows ``met(a, b, pa, pb)`` that can be similar.
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs ``a, b, la, lb`` of rows ``met(a, b, label, lb, pa, pb)`` that share as many elements as the shorter l asks for."""
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least(F.col("pa") % 16, F.col("pb") % 16)).alias("l"), F.first("label").alias("la"), F.first("lb").alias("lb"))
+    return pairs.where("c >= l").select("a", "b", "la", "lb")
 
-    They must share as many elements as the shorter l asks for. Then their whole prefixes are held together: what is
-    shared beyond the one that ends first is at most what is left of its set, and of the other beyond what is shared.
-    """
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least(F.col("pa") % 16, F.col("pb") % 16)).alias("l")).where("c >= l").select("a", "b")
-    for side in "ab":
-        pairs = pairs.join(prefix.select(F.col("cls").alias(side), *(F.col(c).alias(c + side) for c in ("g", "n", "left"))), side)
-    pairs = pairs.withColumn("c", F.size(F.array_intersect("ga", "gb")))
-    most = F.col("c") + F.greatest(F.least("lefta", F.col("nb") - F.col("c")), F.least("leftb", F.col("na") - F.col("c")))
-    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The ``pairs`` that aren't among ``tried``, in either order."""
+    if tried is None:
+        return pairs
+    ends = lambda df: df.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
+    return ends(pairs).join(ends(tried).select("x", "y"), ["x", "y"], "left_anti").drop("x", "y")
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, most_l: int = 6, sketch_bits: int = 21) -> DataFrame:
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, most_l: int = 6, sketch_bits: int | None = None) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, component_id``.
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``k``-word hashes; components
@@ -344,7 +379,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return jaccard_rows(docs, None, id_col, text_col, percent, k, most_l, sketch_bits).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, most_l: int = 6, sketch_bits: int = 21) -> DataFrame:
+def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5, most_l: int = 6, sketch_bits: int | None = None) -> DataFrame:
     """As :func:`jaccard_components`, with ``key``, a binary that goes with the row, and ``label``.
 
     Identifiers may repeat or be null, so that components can share a ``component_id``; ``label`` tells components apart
@@ -352,7 +387,11 @@ def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(None) if key is None else key).cast("binary").alias("key"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(None) if key is None else key).cast("binary").alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+    if sketch_bits is None:  # a counter for each 256 bytes of the table by Spark's estimate, from 2**21 (8 MB) to 2**24 (64 MB)
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        sketch_bits = min(24, max(21, (size >> 8).bit_length()))
     named, sketch = _named_and_counted(docs, sketch_bits, k, scratch)
     shared = spark.sparkContext.broadcast(zlib.compress(sketch.counts.tobytes(), 1))
 
@@ -361,6 +400,8 @@ def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_
         seen: set[int] = set()
         for _, sets, off in _sets(batches, k):
             a, _ = _ids(sets, off)
+            if len(seen) > 200_000:  # what comes again becomes one row with the first further down
+                seen.clear()
             new = np.array([not (x in seen or seen.add(x)) for x in a.tolist()], bool)
             n = np.diff(off)
             sets, a, off = sets[np.repeat(new, n)], a[new], np.concatenate([[0], np.cumsum(n[new])])
@@ -369,6 +410,8 @@ def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_
             parts = (others / 500).astype(np.int64)
             part = np.where(parts > 0, 1 + (mix(a[doc].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(a[doc]), pa.array(n.astype(np.int32)), pa.array((place * 16 + best).astype(np.int32))], names=["gram", "part", "cls", "n", "at"])
+        del order
+        release()
 
     rows = docs.select("text").mapInArrow(index, "gram long, part int, cls long, n int, at int")
     # N-grams of one class alone pair nothing. Those that the sketch calls frequent are dealt by class into parts and all
@@ -387,64 +430,58 @@ def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_
     held = one.groupBy("cls").agg(F.collect_list(F.struct("gram", (F.col("at") * 2 + F.col("live").cast("int")).alias("at"))).alias("rows"), F.first("n").alias("n"))
     # The more of a class's prefix other classes share, the nearer it is to the middle of its group.
     cnt = F.size("rows").cast("long")
-    left = F.greatest(F.ceil(F.col("n") * percent / 100) - F.shiftright(F.col("rows")[0]["at"], 1) % 16, F.lit(0))
-    held = scratch.put(held.select("cls", "n", "rows", cnt.alias("cnt"), (cnt * 1000 / F.col("n")).cast("long").alias("score"), left.alias("left")))
-    prefix = held.select("cls", F.col("rows.gram").alias("g"), "n", "left")
+    about = named.where("n > 0").groupBy("cls").agg(F.first("map").alias("map"), F.min("th").alias("th"))
+    held = scratch.put(held.select("cls", "n", "rows", cnt.alias("cnt"), (cnt * 1000 / F.col("n")).cast("long").alias("score")).join(about, "cls"))
     label = held.select(F.col("cls").alias("node"), F.col("cls").alias("label"), "score", "cnt")
-    edges: DataFrame | None = None
     fits = _meet(percent)
-    tried = None
-
-    def relabel(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        new = scratch.put(new if edges is None else new.union(edges))
-        return new, scratch.put(label.select("node", "score", "cnt").join(components(new, scratch), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "score", "cnt"))
+    tried: DataFrame | None = None
+
+    def look(met: DataFrame) -> tuple[int, int]:
+        """Verifies the pairs of ``met`` not tried yet and joins the components that they link; how many there were, and how many linked."""
+        nonlocal label, tried
+        pairs = scratch.put(_near(_untried(_candidates(met), tried), held, percent))
+        n = pairs.count()
+        found = _verified(pairs, n, docs, percent, k, scratch)
+        tried = pairs if tried is None else tried.union(pairs)
+        if links := found.count() if n else 0:
+            new = scratch.put(components(found.select(F.col("la").alias("u"), F.col("lb").alias("v")), scratch))
+            before, label = label, scratch.put(label.join(new.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"), "score", "cnt"))
+            scratch.drop(before, new, found)
+        return n, links
 
     def open_rows(rows: DataFrame) -> DataFrame:
-        """Those of ``rows`` of the index whose n-grams still meet more than one component. Components only grow, so others never do again."""
+        """Those of ``rows`` of the index whose n-grams still meet another component in a set of a size that can be similar.
+
+        Components only grow, so other rows never do again. A row at its place needs a partner small enough, and none
+        is smaller than the smallest of the n-gram.
+        """
         at = rows.select("gram", "cls", "n", "at").join(label.withColumnRenamed("node", "cls"), "cls")
-        mixed = at.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        return scratch.put(at.join(mixed.select("gram"), "gram", "left_semi"))
+        mixed = at.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")).where("x <> y")
+        most = (F.col("n") + F.col("at") % 16 - 1 - F.floor(F.col("at") / 16)) * (100 + percent) / percent - F.col("n")
+        fit = (F.col("least") <= most) & (F.col("most") * 100 >= F.col("n") * percent)
+        return scratch.put(at.join(mixed.select("gram", "least", "most"), "gram").where(fit).drop("least", "most"))
 
     live = held.select("cls", "n", F.col("cls").alias("label"), "score", "cnt", F.inline("rows")).where("at % 2 = 1")
     live = live.withColumn("at", F.shiftright("at", 1))
     for turn in range(4):
-        # The hub: the most central class of the bucket, in every other turn the most central outside its component.
-        best = F.max(F.struct("score", "cls", "n", "label", "cnt", F.col("at").alias("pb"))).alias("h")
-        hub = live.groupBy("gram").agg(best).select("gram", "h.*")
-        if turn % 2:
-            rest = live.join(hub.select("gram", F.col("label").alias("x")), "gram").where("label <> x")
-            hub = rest.groupBy("gram").agg(best).select("gram", "h.*")
-        hub = scratch.put(hub.select("gram", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("cnt").alias("cb"), "pb"))
-        met = live.withColumnsRenamed({"at": "pa", "cls": "a", "cnt": "ca"}).join(hub, "gram").where((F.col("label") != F.col("lb")) & fits)
-        pairs = _candidates(met, prefix, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs)
-        found = _verified(pairs, named, docs, percent, k, scratch)
-        tried = pairs if tried is None else tried.union(pairs)
-        n_found, n_tried = found.count(), pairs.count()
-        if not n_found:
-            break
-        edges, label = relabel(found)
-        before, live = live, open_rows(live)
-        scratch.drop(before)
-        if n_found * 20 < n_tried:  # stars join little more
-            break
+        # The hub: the most central class of the n-gram; in later turns the most central one of a component drawn by hash.
+        central = [F.col("score"), F.col("cls")] if not turn else [F.xxhash64("label", F.lit(turn)), F.col("score"), F.col("cls")]
+        best = F.max(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(central)), F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("cnt").alias("cb"), F.col("at").alias("pb"))).alias("h")
+        hub = live.groupBy("gram").agg(best).select("gram", *(f"h.{c}" for c in ("b", "lb", "m", "cb", "pb")))
+        n, links = look(live.withColumnsRenamed({"at": "pa", "cls": "a", "cnt": "ca"}).join(hub, "gram").where((F.col("label") != F.col("lb")) & fits))
+        if links:
+            before, live = live, open_rows(live)
+            scratch.drop(before)
         # Pairs across components that share an n-gram: few enough to look at each?
         sizes = live.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        if (sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0) <= 2 * live.count():
+        total = sizes.agg(F.sum("c").alias("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()
+        if links * 20 < n or (total.pairs or 0) <= 8 * (total.c or 0):  # or stars join little more
             break
     # All pairs that are left, by the full multi-match rule.
-    x = live.select("gram", F.col("cls").alias("a"), "n", F.col("label").alias("la"), F.col("at").alias("pa"), F.col("cnt").alias("ca"))
+    x = live.select("gram", F.col("cls").alias("a"), "n", "label", F.col("at").alias("pa"), F.col("cnt").alias("ca"))
     y = live.select("gram", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("at").alias("pb"), F.col("cnt").alias("cb"))
-    met = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
-    pairs = _candidates(met, prefix, percent)
-    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    pairs = scratch.put(pairs)
-    found = _verified(pairs, named, docs, percent, k, scratch)
-    edges, label = relabel(found)
-    scratch.drop(live, pairs, held)
+    look(x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & fits))
+    scratch.drop(live, held)
 
     # Names: the least identifier of each class, then of each component.
     cls = named.where("n > 0").groupBy("cls", "cls2").agg(F.min("id").alias("id"))
