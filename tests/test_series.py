@@ -150,3 +150,102 @@ def test_zip_of_unequal_lengths_fails(spark):
         with pytest.raises(Exception, match="differ in length"):
             x.zip(y).count()
     assert a.zip(b, strict=False).count() == 2
+
+
+def test_reduction_and_zip_by_key(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 10), (None, 5, 7)], "g string, k long, v long")
+    s = Series.wrap(df, "v", "k", by="g")
+    assert {r.g0: r.value for r in s.reduce_df("return (x * y) % 1000;", 1).collect()} == {"a": 2, "b": 10, None: 7}
+    assert {r.g0: r.value for r in s.reduce_df("return max(x, y);", -1).collect()} == {"a": 2, "b": 10, None: 7}
+    assert {r.g0: r.value for r in s.reduce_df(Monoid(F.lit(0).cast("long"), lambda x, y: x + y)).collect()} == {"a": 3, "b": 10, None: 7}
+    assert sorted(map(tuple, s.zip(s.map("x + 1")).collect()), key=str) == sorted([("a", 0, 1, 2), ("a", 1, 2, 3), ("b", 0, 10, 11), (None, 0, 7, 8)], key=str)
+    with pytest.raises(Exception, match="differ in length"):
+        s.zip(s.where("k0 > 1")).collect()
+    with pytest.raises(ValueError):
+        s.zip(Series.wrap(df, "v", "k"))
+
+
+def test_keys_of_time_without_a_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 02:30 doesn't exist there on that day
+    try:
+        df = spark.sql("select * from values (timestamp_ntz'2024-03-10 03:00:00', 3), (timestamp_ntz'2024-03-10 01:00:00', 1), (timestamp_ntz'2024-03-10 04:00:00', 4), (timestamp_ntz'2024-03-10 02:30:00', 2) as t(k, v)")
+        assert [r.x for r in Series.wrap(df, "v", "k").indexed.orderBy("idx").collect()] == [1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_null_keys_are_left_out(spark):
+    df = spark.createDataFrame([(None, 9), (1, 1), (3, 3), (2, 2)], "k long, v int")
+    assert [r.x for r in Series.wrap(df, "v", "k").indexed.orderBy("idx").collect()] == [1, 2, 3]
+
+
+@pytest.mark.parametrize(("body", "want"), [("return fmax(x, y);", 5.0), ("return fmin(x, y);", 1.0)])
+def test_fmax_and_fmin_prefer_numbers(spark, body, want):
+    assert shuffled(spark, [1.0, math.nan, 5.0]).reduce(body, want) == want
+    assert shuffled(spark, [math.nan], "float").reduce(body, 2.0) == 2.0
+
+
+def test_a_far_key_makes_no_cell_large(spark):
+    n = 20_000
+    near = spark.range(n).select((F.col("id") + 10**17).alias("k"), F.col("id").cast("int").alias("v"))
+    df = near.union(spark.createDataFrame([(1, -1), (2 * 10**18, n)], "k long, v int"))
+    indexed = Series.wrap(df, "v", "k").indexed
+    assert indexed.where("idx <> x + 1").count() == 0 and indexed.count() == n + 2
+    from tidemark.operators import index
+
+    parts = index.cut(df.select(F.col("k").alias("k0")), "k0").groupBy("__cell", "__part").count().agg(F.max("count")).first()[0]
+    assert parts < n / 100
+
+
+@pytest.mark.parametrize("width", [33, 100, 1024])
+def test_wide_windows(spark, width):
+    rnd = random.Random(width)
+    values = [rnd.uniform(-1, 1) * 10 ** rnd.randrange(12) for _ in range(2500)]
+    s = shuffled(spark, values)
+    got = s.sliding(width, 3, lambda w: F.struct(w.mean().alias("_1"), w.max().alias("_2")), "double2").collect()
+    want = [values[i : i + width] for i in range(0, len(values) - width + 1, 3)]
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert math.isclose(g[0], math.fsum(w) / width, rel_tol=1e-9, abs_tol=1e-3) and g[1] == max(w)
+    low = shuffled(spark, list(range(400)), "int").sliding(width, 1, lambda w: w.sum()).collect() if width < 400 else []
+    assert low == [sum(range(i, i + width)) for i in range(400 - width + 1)] if width < 400 else True
+
+
+def test_series_of_summaries(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(10)], "k long, g int, v double")
+    parts = Series.wrap(Series.wrap(df, "v", "k", by="g").stats_df(), "stats", "g0")
+    assert tuple(parts.merged_df().first().stats) == (10, 4.5, pytest.approx(82.5), 9.0, 0.0)
+    assert parts.stats_report_df().first()["variance"] == pytest.approx(8.25)
+    for bad in (parts.sum_df, parts.stats_df, lambda: parts.moving_average(2), lambda: parts.map("x"), Series.wrap(df, "v", "k").merged_df):
+        with pytest.raises(TypeError):
+            bad()
+
+
+def test_what_a_collection_offers(spark, tmp_path):
+    s = shuffled(spark, list(range(1000)), "int")
+    half = s.sample(0.5, 3)
+    assert 400 < half.count() < 600 and half.collect() == Series(s.df.repartition(2), s.keys).sample(0.5, 3).collect()
+    assert [r.x for r in s.take(3).collect()] == [0, 1, 2] and s.sample(0).count() == 0 and s.sample(1).count() == 1000
+    assert sorted(x for r in s.glom().collect() for x in r.xs) == list(range(1000))
+    seen, profile = s.observed("elements_of_s")
+    assert seen.sum() == 499500 and profile.get["elements"] == 1000
+    s.write(str(tmp_path / "s"))
+    assert Series.read(spark, str(tmp_path / "s")).collect() == s.collect() == list(s.iterate())
+    assert [r["count"] for r in s.count_approx_distinct().collect()][0] == pytest.approx(1000, rel=0.2)
+    p = Series.from_values(spark, [(1, 2), (1, 3), (2, 9)], "int2")
+    assert sorted(map(tuple, p.reduce_by_key().collect())) == [(1, 5), (2, 9)]
+    q = Series.from_values(spark, [(2, 5), (3, 1)], "int2")
+    assert sorted((r.key, r.xs, r.ys) for r in p.cogroup(q).collect()) == [(1, [2, 3], []), (2, [9], [5]), (3, [], [1])]
+    assert sorted(map(tuple, p.join(q).collect())) == [(2, 9, 5)]
+    assert s.cartesian(q.map("return x.s0;", "int")).count() == 2000
+    with pytest.raises(TypeError):
+        s.join(s)
+
+
+def test_sums_of_extremes(spark):
+    for kind, bits in (("char", 8), ("short", 16), ("int", 32), ("long", 64)):
+        low, high = -(2 ** (bits - 1)), 2 ** (bits - 1) - 1
+        for values in ([low, low, low], [high, high, 5], [low, high], [-1, -2, 7]):
+            want = (sum(values) - low) % 2**bits + low
+            assert shuffled(spark, values, kind).sum() == want, (kind, values)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAN, INF = float("nan"), float("inf")
 
@@ -22,15 +23,17 @@ def stats(x: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The summary of two sets of values from the summaries of each. A mean moves from the larger set's when that has over ten times the other's rows."""
+    """The summary of two sets of values from the summaries of each: the mean moves towards that of ``b`` by the share of rows that ``b`` has."""
     n = a["n"] + b["n"]
-    d = b["mu"] - a["mu"]
-    share = lambda part: part.cast("double") / n
-    mu = F.when(b["n"] * 10 < a["n"], a["mu"] + d * share(b["n"])).when(a["n"] * 10 < b["n"], b["mu"] - d * share(a["n"])).otherwise((a["mu"] * a["n"] + b["mu"] * b["n"]) / n)
-    both = F.struct(n.alias("n"), mu.alias("mu"), (a["m2"] + b["m2"] + d * d * a["n"] * share(b["n"])).alias("m2"), F.greatest(a["max"], b["max"]).alias("max"), F.least(a["min"], b["min"]).alias("min"))
+    d, share = b["mu"] - a["mu"], b["n"].cast("double") / n
+    both = F.struct(n.alias("n"), (a["mu"] + d * share).alias("mu"), (a["m2"] + b["m2"] + d * d * a["n"] * share).alias("m2"), F.greatest(a["max"], b["max"]).alias("max"), F.least(a["min"], b["min"]).alias("min"))
     return F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(both)
 
 
+#: The type of a summary, which is an element type too.
+KIND = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("mu", "m2", "max", "min"))])
+
+
 def empty() -> Column:
     return F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mu"), F.lit(0.0).alias("m2"), F.lit(-INF).alias("max"), F.lit(INF).alias("min"))
 

@@ -26,7 +26,14 @@ def lanes(kind: T.DataType) -> int:
     return len(kind.fields) if isinstance(kind, T.StructType) else 1
 
 
+def summary(kind: T.DataType) -> bool:
+    """Whether elements are summaries, which only merge and report."""
+    return isinstance(kind, T.StructType) and kind.fieldNames() == ["n", "mu", "m2", "max", "min"]
+
+
 def check(kind: T.DataType) -> None:
+    if summary(kind):
+        return
     own = {f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {kind}
     if len(own) != 1 or own.pop() not in SCALARS.values() or lanes(kind) not in ARITIES:
         raise TypeError(f"not an element type: {kind.simpleString()}")
@@ -61,8 +68,15 @@ def wrapped(exact: Column, kind: T.DataType) -> Column:
 
 
 def typed_sum(x: Column, kind: T.DataType) -> Column:
-    """Sum that stays in its type: integers wrap around, none at all gives zero."""
-    if kind.simpleString() in BITS:
-        wide = x.cast("bigint") if BITS[kind.simpleString()] < 32 else x.cast("decimal(20,0)")
-        return wrapped(F.coalesce(F.sum(wide).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")), kind)
+    """Sum that stays in its type: integers wrap around, none at all gives zero.
+
+    An integer is added up in pieces of 22 bits, the last with the sign, which no table is long enough to overflow.
+    """
+    if bits := BITS.get(kind.simpleString()):
+        whole, exact = x.cast("bigint"), F.lit(0).cast("decimal(38,0)")
+        for low in range(0, bits, 22):
+            piece = F.shiftright(whole, low) if low + 22 >= bits else F.shiftright(whole, low).bitwiseAND(F.lit((1 << 22) - 1).cast("bigint"))
+            total = F.coalesce(F.sum(piece), F.lit(0).cast("bigint")).cast("decimal(20,0)")
+            exact = exact + total * F.lit(str(1 << low)).cast("decimal(17,0)")
+        return wrapped(exact, kind)
     return F.coalesce(F.sum(x.cast("double")), F.lit(0.0)).cast(kind)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELLS = 1 << 16
+#: Cells of the first cut, and of the second in all but for one more to each cell of the first.
+CELLS = 1 << 14
 
 
-def _numeric(df: DataFrame, key: str) -> Column | None:
+def _numeric(df: DataFrame, key: str) -> Column:
+    """A number that grows with the key, or stays."""
     kind = df.schema[key].dataType
     if isinstance(kind, T.NumericType):
         return F.col(key).cast("double")
@@ -18,28 +20,48 @@ def _numeric(df: DataFrame, key: str) -> Column | None:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(key)).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    return None
+        k = F.col(key)  # by its parts, as a cast would go through the session's zone
+        return ((F.unix_date(k.cast("date")).cast("double") * 24 + F.hour(k)) * 60 + F.minute(k)) * 60 + F.extract(F.lit("SECOND"), k)
+    if isinstance(kind, T.BooleanType):
+        return F.col(key).cast("int").cast("double")
+    raw = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0")
+    return F.conv(raw, 16, 10).cast("double")
+
+
+def _parts(key: Column, low: Column, high: Column, n: Column) -> Column:
+    """Which of ``n`` parts of one width between ``low`` and ``high`` the key is in, from 0 on."""
+    return F.when(high > low, F.least(F.floor((key - low) / (high - low) * n), n - 1)).otherwise(0).cast("int")
+
+
+def cut(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``__cell`` and ``__part``, which together rise with the key.
+
+    Cells are of one width between the least and the greatest key. A cell is cut again, between its own least and greatest
+    key, into as many parts as its share of the rows asks for.
+    """
+    first = _numeric(df, key)
+    ends = df.agg(F.min(first).alias("__low"), F.max(first).alias("__high"))
+    celled = df.join(F.broadcast(ends), how="left")  # one row
+    celled = celled.withColumn("__cell", _parts(first, F.col("__low"), F.col("__high"), F.lit(CELLS))).drop("__low", "__high")
+    cells = celled.groupBy("__cell").agg(F.count("*").alias("__n"), F.min(first).alias("__low"), F.max(first).alias("__high"))
+    cells = cells.withColumn("__n", F.floor(F.col("__n") / F.sum("__n").over(Window.partitionBy()) * CELLS) + 1)  # at most CELLS rows, as below
+    celled = celled.join(F.broadcast(cells), "__cell")
+    return celled.withColumn("__part", _parts(first, F.col("__low"), F.col("__high"), F.col("__n"))).drop("__low", "__high", "__n")
 
 
 def with_index(df: DataFrame, keys: tuple[str, ...], name: str = "idx") -> DataFrame:
     """``df`` with ``name``, the position of each row by ``keys`` from 0 on.
 
-    The range of the first key is cut into ``CELLS`` cells of one width. The rows before a cell are a running sum over
-    the cells, a table of bounded size; the place in a cell is a window over that cell's rows alone. The keys need not
-    be dense, but must be unique for the order to be determined. A first key that is no number or time is ranked by a
-    plain window, which sorts in one task.
+    The rows are cut by the first key, twice, so that neither keys far from the others nor keys close together make a
+    part large. The rows before a part are a running sum over the parts, a table of bounded size; the place in a part
+    is a window over that part's rows alone. The keys need not be dense, but must be unique for the order to be
+    determined, and not null. A text as first key is cut by its first 7 bytes, and texts that agree in these share a part.
     """
-    first = _numeric(df, keys[0])
-    if first is None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
-    ends = df.agg(F.min(first).alias("__low"), F.max(first).alias("__high"))
-    width = F.col("__high") - F.col("__low")
-    cell = F.when(width > 0, F.least(F.floor((first - F.col("__low")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    celled = df.join(F.broadcast(ends), how="left").withColumn("__cell", cell.cast("int")).drop("__low", "__high")  # one row
-    sizes = celled.groupBy("__cell").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__cell", F.coalesce(before, F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy("__cell").orderBy(*keys))
-    out = celled.withColumn("__place", place).join(F.broadcast(starts), "__cell")  # at most CELLS rows
-    return out.withColumn(name, F.col("__start") + F.col("__place") - 1).drop("__cell", "__place", "__start")
+    here = ["__cell", "__part"]
+    celled = cut(df, keys[0])
+    sizes = celled.groupBy(*here).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(*here).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*here, F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*here).orderBy(*keys))
+    out = celled.withColumn("__place", place).join(F.broadcast(starts), here)  # at most 2 * CELLS rows
+    return out.withColumn(name, F.col("__start") + F.col("__place") - 1).drop(*here, "__place", "__start")

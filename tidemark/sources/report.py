@@ -9,19 +9,22 @@ HEADER = ["Benchmark", "cpu", "size", "Mode", "Cnt", "Score", "Error", "Units"]
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """``name, cpu, size, cnt, score`` of a report's lines. Headers may repeat; a name loses what is before its first dot."""
-    words = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).select(words.alias("w")).where(F.size("w") >= 6)
-    rows = lines.where(F.col("w")[0] != HEADER[0])
-    return rows.select(F.regexp_replace(F.col("w")[0], r"^[^.]*\.", "").alias("name"), F.col("w")[1].alias("cpu"), F.col("w")[2].cast("long").alias("size"), F.col("w")[4].cast("long").alias("cnt"), F.col("w")[5].cast("double").alias("score"))
+    """The rows of a report in text files; see :func:`parse_report`."""
+    return parse_report(spark.read.text(path))
 
 
-def check_header(spark: SparkSession, path: str) -> None:
-    """Raises unless each header of the report has the columns expected. Only a flag comes back."""
+def parse_report(lines: DataFrame) -> DataFrame:
+    """``name, cpu, size, cnt, score`` of a report's lines, ``lines(value)``.
+
+    Headers may repeat; one that has other columns makes reading fail. A name loses what is before its first dot; lines of
+    fewer than six words, null and empty ones among them, are passed over.
+    """
     words = F.split(F.trim("value"), r"\s+")
-    bad = spark.read.text(path).select(words.alias("w")).where((F.col("w")[0] == HEADER[0]) & (F.col("w") != F.array(*[F.lit(h) for h in HEADER])))
-    if not bad.isEmpty():
-        raise ValueError("a header of the report has other columns")
+    header = F.col("w")[0] == HEADER[0]
+    bad = F.raise_error(F.lit("a header of the report has other columns")).cast("boolean")
+    right = F.col("w") == F.array(*[F.lit(h) for h in HEADER])
+    rows = lines.select(words.alias("w")).where(F.when(header & ~right, bad).when(header, False).otherwise(F.size("w") >= 6))
+    return rows.select(F.regexp_replace(F.col("w")[0], r"^[^.]*\.", "").alias("name"), F.col("w")[1].alias("cpu"), F.col("w")[2].cast("long").alias("size"), F.col("w")[4].cast("long").alias("cnt"), F.col("w")[5].cast("double").alias("score"))
 
 
 def pivot_report(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -31,7 +34,9 @@ def pivot_report(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def table_lines(pivoted: DataFrame) -> DataFrame:
-    """Lines ``line`` of the table by size: separated by spaces, 3 decimals, ``nan`` where there is no score."""
+    """Lines ``line`` of the table by size, null for the head line, which names the columns: separated by spaces, 3 decimals, ``nan`` where there is no score."""
     names = [c for c in pivoted.columns if c != "size"]
     cells = [F.when(F.col(n).isNull(), "nan").otherwise(F.format_string("%.3f", F.col(n))) for n in names]
-    return pivoted.orderBy("size").select("size", F.concat_ws(" ", F.col("size").cast("string"), *cells).alias("line"))
+    rows = pivoted.select("size", F.concat_ws(" ", F.col("size").cast("string"), *cells).alias("line"))
+    head = pivoted.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("size"), F.lit(" ".join(["size", *names])).alias("line"))
+    return head.union(rows).orderBy(F.asc_nulls_first("size"))
