@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OPEN: ContextVar[list[Scratch] | None] = ContextVar("open scratch", default=None)
+
+
 class Scratch:
     """Written tables of one operator call.
 
     ``put`` writes a DataFrame as Parquet in the shared folder and reads it back, which cuts its lineage at a place
-    that outlives any executor. ``drop`` deletes tables that nothing reads any more.
+    that outlives any executor. ``drop`` deletes tables that nothing reads any more. A result reads the last of them
+    when it is used; what is left then goes at the end of the ``with scratch_space():`` that the call was made in.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        if (space := _OPEN.get()) is not None:
+            space.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,8 +55,36 @@ class Scratch:
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             if df is not None and (path := self.paths.pop(id(df), None)):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes all tables of the call."""
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_space() -> Iterator[None]:
+    """Deletes, at its end, the tables of all operators called in it; their results must have been written by then."""
+    before = _OPEN.set([])
+    try:
+        yield
+    finally:
+        for s in _OPEN.get():
+            s.clear()
+        _OPEN.reset(before)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or one with more underscores that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release() -> None:

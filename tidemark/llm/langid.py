@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, text_lengths
+from tidemark.llm.common import release, slices, text_lengths
 
 _TABLE: list[np.ndarray] = []
 #: Code points need 21 bits; three of them and the order of the n-gram fill a word.
@@ -84,6 +84,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                     yield out()
         if held:
             yield out()
+        release()
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -125,6 +126,8 @@ def predict_language(docs: DataFrame, profiles: list[tuple[str, int, int]], id_c
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             rest = range(0 if text_col in carry else 1, b.num_columns)
             yield pa.RecordBatch.from_arrays([*cols, *(b.column(i) for i in rest)], names=["lang_pred", "score", *(named[i] for i in rest)])
+            del b, found, cols
+        release()
 
     # A text that is carried goes to the worker and back as the column that is read, not as a second one.
     rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *(c for c in carry if c != text_col))
@@ -137,7 +140,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Learn from the rows outside the held-out quarter and predict every row: ``doc_id, held_out, lang_pred, score``.
 
     A row is held out when crc32 of its identifier as text leaves 2 divided by 4. A null identifier is neither held
-    out nor learned from. Only ``size`` n-grams of each language reach the driver.
+    out nor learned from. Only ``size`` n-grams of each language reach the driver. Repeated rows teach and are predicted
+    each; texts of any length are read whole; an empty table gives an empty result. Columns beside the three named and
+    those of ``carry`` are not read.
     """
     part = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
     profiles = [(r.lang, r.gram, r.rank) for r in learn_profiles(docs.where(part != 2), text_col, lang_col, size).collect()]

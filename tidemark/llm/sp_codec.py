@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct words of a batch are laid end to end and indexed by a suffix array. Every piece of the vocabulary is found
+The words of a batch that the worker hasn't met lately, each once, are laid end to end and indexed by a suffix array;
+the ids of the others are remembered from the batches before. Every piece of the vocabulary is found
 by binary search, which gives all its occurrences as one range; the occurrences are edges from their first to behind
 their last character, and are sorted by position. Relaxing them in that order gives the ids: an edge is taken if its
 start has been reached and if it may follow the piece that the start was reached by.
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, text_lengths
+from tidemark.llm.common import release, slices, text_lengths
 
 _LOADED: dict[str, Codec] = {}
 _RAW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -315,6 +316,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 flat, off = c.encode(b.column(1).slice(i, j - i).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(off)), ids], names=["doc_id", "n_tokens", "ids"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
@@ -331,6 +333,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
                 n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = decode_ids(model_path, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *(part.column(k) for k in range(2, part.num_columns))], names=["doc_id", "text", *carry])
+        release()
 
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("__ids"), *carry)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
