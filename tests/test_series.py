@@ -107,6 +107,9 @@ def test_reductions(spark):
         ("double", "return fmax(x, NAN);", "double", 2.0, 2.0),
         ("int", "x <<= 2; x |= 1; return x ^ 3;", "int", 5, 22),
         ("double", "return round(x) + rint(x) + trunc(x);", "double", 2.5, 7.0),
+        ("char", "return x + x;", "int", 100, 200),
+        ("char", "return x + x;", "char", 100, -56),
+        ("short", "return (short)(x * 2);", "int", 20000, -25536),
     ],
 )
 def test_bodies(spark, kind, body, to, x, want):

@@ -54,9 +54,21 @@ class Value:
 
 
 def symbol(col: Column, kind: T.DataType) -> Value:
-    if isinstance(kind, T.StructType):
-        return Value(tuple(col[f.name] for f in kind.fields), isinstance(kind.fields[0].dataType, T.DoubleType | T.FloatType))
-    return Value((col,), isinstance(kind, T.DoubleType | T.FloatType))
+    """An element as a body sees it; chars and shorts are ints there, as C makes them in every operation."""
+    fields = kind.fields if isinstance(kind, T.StructType) else None
+    lane = fields[0].dataType if fields else kind
+    cols = tuple(col[f.name] for f in fields) if fields else (col,)
+    if isinstance(lane, T.ByteType | T.ShortType):
+        cols = tuple(c.cast("int") for c in cols)
+    return Value(cols, isinstance(lane, T.DoubleType | T.FloatType))
+
+
+def _cast(c: Column, kind: T.DataType, real: bool) -> Column:
+    """A cast as C makes it: an integer that is too long for a char or short loses its upper bits."""
+    half = {"tinyint": 1 << 7, "smallint": 1 << 15}.get(kind.simpleString())
+    if half is None or real:
+        return c.cast(kind)
+    return (F.pmod(c.cast("bigint") + half, F.lit(2 * half)) - half).cast(kind)
 
 
 class Body:
@@ -364,7 +376,7 @@ class Body:
         if len(v.cols) not in (1, n):
             raise ValueError("a vector doesn't become one of another length")
         real = isinstance(kind, T.DoubleType | T.FloatType)
-        return Value(tuple(c.cast(kind) for c in cols), real, known=None if real else v.known)
+        return Value(tuple(_cast(c, kind, v.real) for c in cols), real, known=None if real else v.known)
 
     def primary(self) -> Value:
         word = self.take()
@@ -415,4 +427,4 @@ def compile_body(body: str, env: dict[str, Value], kind: T.DataType | None = Non
         v = Body.convert(v, kind.fields[0].dataType, len(kind.fields))
     if len(v.cols) > 1:
         return F.struct(*[c.alias(f"_{i + 1}") for i, c in enumerate(v.cols)])
-    return v.one.cast(kind) if kind is not None else v.one
+    return _cast(v.one, kind, v.real) if kind is not None else v.one
