@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +70,22 @@ def test_jaccard_against_brute_force(spark):
     assert got == sorted(((r[0], len(s), least[root(i)]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
+def test_jaccard_without_a_link(spark):
+    rnd = random.Random(11)
+    rows = [(i, prose(rnd, 30), "en", "src1") for i in range(20)] + [(30, prose(rnd, 2), None, None)]
+    rows += [(40 + i, rows[0][1] + " " + prose(rnd, 12), None, None) for i in range(3)]  # that share n-grams, but too few
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(table(spark, rows)).collect()) == [(r[0], r[0]) for r in rows]
+
+
+def test_jaccard_words_and_texts_longer_than_a_slice(spark):
+    rnd = random.Random(12)
+    word = "x" * (2 * jaccard.SLICE + 5)
+    long = prose(rnd, 150_000)
+    rows = [(1, f"{word} b c d e f g h", "en", None), (2, f"  {word.upper()}\nb c\td e f  g h ", "en", None), (3, f"{word}y b c d e f g h", "en", None), (4, long, "en", None), (5, long.replace(" ", "  "), "en", None), (6, long[:-9], "en", None), (7, word, None, None), (8, word, None, None), (9, word + " " + word, None, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, rows)).collect()}
+    assert got == {i: (len(sets_of(t)), c) for (i, t, *_), c in zip(rows, [1, 1, 3, 4, 4, 4, 7, 7, 9], strict=True)}
+
+
 @pytest.mark.parametrize(("keep", "per_node"), [("min", 50_000), ("max", 1)])
 def test_exact_dedup(spark, keep, per_node):
     rows = odd_rows()
@@ -150,6 +168,63 @@ def test_html_ids_in_an_article(part, want):
     assert html_extract.main_text(f"<html><body><article><p>{lead}</p>{part}</article></body></html>") == "\n\n".join([lead, *want])
 
 
+LEAD = "lead text " * 20
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article><p>{LEAD}</p><section id='discussion'><p>More text here.</p></section></article>", [LEAD.strip(), "More text here."]),
+        (f"<article><p>{LEAD}</p><div class='form-of-life'><p>More text here.</p></div></article>", [LEAD.strip(), "More text here."]),
+        (f"<article><p>{LEAD}</p><div class='comment'><p>{LEAD * 20}</p></div></article><p>{LEAD}</p>", [LEAD.strip()]),
+        (f"<div class='layout-sidebar-left'><div class='content'><p>{LEAD}</p><p>short</p></div></div>", [LEAD.strip(), "short"]),
+        (f"<div class='sidebar'><div class='content'><p>{LEAD}</p></div><div class='ad'>buy now</div></div>", [LEAD.strip()]),
+        (f"<div class=sidebar><p>side</p><main><p>{LEAD}</p></main>", [LEAD.strip()]),
+        (f"<nav><ul><li>menu<article><p>{LEAD}</p></article>", [LEAD.strip()]),
+        (f"<form id=aspnetForm><div><p>{LEAD}</p><p>End.</p></div><button>Send</button></form>", [LEAD.strip(), "End."]),
+        ("<article><p>Read <span class='share'>Share it</span> on and on.</p></article>", ["Read on and on."]),
+        (f"<article><p>{LEAD}</p><ul>{'<li>x</li>' * 12}</ul><p>{LEAD}</p></article>", [LEAD.strip(), *["x"] * 12, LEAD.strip()]),
+        ("<nav>only menu text</nav><footer>and a foot</footer>", []),
+    ],
+)
+def test_html_evidence_is_relative(html, want):
+    assert html_extract.main_text(html) == "\n\n".join(want)
+
+
+def test_html_ratio_smoothing_and_clusters():
+    rnd = random.Random(8)
+    page = "<body>" + "".join(f"<p>{'<b>' * rnd.randrange(3)}{'t' * rnd.choice([2, 40, 900])}</p>" for _ in range(40)) + "</body>"
+    parser = html_extract.Lines()
+    parser.feed(page)
+    parser.end()
+    ratio = [len(x[0]) / (x[1] + 1) for x in parser.lines]
+    assert len(ratio) == 40 and {x[3] for x in parser.lines} == {0}
+    for sigma in (0.4, 1.0, 2.5):
+        r = math.ceil(3 * sigma)
+        weight = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)}
+        slow = [sum(weight[d] * ratio[i + d] for d in weight if 0 <= i + d < 40) / sum(weight[d] for d in weight if 0 <= i + d < 40) for i in range(40)]
+        assert np.allclose(html_extract.smooth(np.array(ratio), sigma), slow)
+        bits, content = [math.log2(v) for v in slow], []
+        for v in sorted(bits, reverse=True):
+            if content and content[-1] - v > html_extract.GAP:
+                break
+            content.append(v)
+        assert list(html_extract.top_cluster(np.array(bits))) == [v >= content[-1] for v in bits]
+    lines = [("t" * n, 1, html_extract.ARTICLE, 0, 0, 0, True) for n in (900, 2, 2, 2, 2, 2, 900)]
+    assert html_extract.select(lines, 0.3).tolist() == [True, False, False, False, False, False, True]  # nothing smoothed
+    assert html_extract.select(lines, 1.0).all()
+
+
+def test_html_deep_and_long_pages():
+    n = 20_000
+    for html, want in ((("<b>" * n) + ("</i>" * n) + "x", "x"), ("<b>" * n + "<p>x</p>" * 3, "x\n\nx\n\nx"), ("<i><div>" + "<b>" * n + "</i>" * n + "y</div>", "y"), ("<div>" * n + "z" + "</div>" * n, "z")):
+        begun = time.process_time()
+        assert html_extract.main_text(html) == want
+        assert time.process_time() - begun < 5
+    long = "<article>" + f"<p>{LEAD}</p>" * 5000 + "</article>"
+    assert html_extract.main_text(long) == "\n\n".join([LEAD.strip()] * 5000)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (None, None, None, "t"), (1, "u", "<p>a b</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_extract.extract(df).collect())) == sorted(["Row(page_id=1, url='u', text='a b', n_chars=3)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
@@ -172,6 +247,43 @@ def test_embeddings(spark):
     assert got[459].component_id == got[0].component_id and len(got) == len(rows)
 
 
+def linked(x, cosine=0.9):
+    u = np.array(x, float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = np.einsum("ik,jk->ij", u, u) >= cosine
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_embeddings_at_the_default_recall(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((150, 32))
+    x = np.concatenate([centres[i % 150] + rng.normal(0, 0.32, 32) for i in range(3000)]).reshape(-1, 32).astype(np.float32)  # cosines around 0.9
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], f"vec_id long, embedding array<{kind}>")
+        got = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
+        near = linked(x)
+        found = np.array([got[i].n_links for i in range(len(x))])
+        assert near.sum() > 10_000 and (found <= near.sum(1)).all() and found.sum() >= 0.9 * near.sum()
+
+
+def test_embeddings_with_repeated_identifiers(spark):
+    a, b = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.0, 0.1]
+    close = [1.0, 0.05, 0.0, 0.2]
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, b), (9, close), (3, [0.0, 0.0, 1.0, 0.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.999999).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(3, 0, 3), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 2, 5), (8, 2, 5), (9, 2, 5)]
+
+
+def test_embeddings_in_a_large_bucket(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(24) + rng.normal(0, 0.12, (2600, 24))  # one group, in blocks of 1,024
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()}
+    want = linked(x).sum(1)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.9 * want.sum() and {r.component_id for r in got.values()} == {0}
+
+
 def test_line_dedup(spark):
     rows = odd_rows()
     got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
@@ -197,6 +309,39 @@ def test_mixing(spark):
         mixing.mix(df, levels, {"en": -1})
 
 
+def test_mixing_prefix_against_brute_force(spark):
+    """One leaf: repeated rows, null identifiers, a text without words and a long one, in the order of the seeded epoch."""
+    rows = [(i, "w " * (i % 9), "en", "s") for i in range(60)] + [(7, "w w", "en", "s"), (7, "w w", "en", "s"), (None, "w w w", "en", "s"), (None, "w w w", "en", "s"), (100, "w " * 50_000, "en", "s"), (101, None, "en", "s")]
+    total = sum(len((t or "").split()) for _, t, *_ in rows)
+    for percent, epochs in ((1, 1), (40, 1), (130, 2), (500, 2)):
+        budget = min(total * percent // 100, total * epochs)
+        full, rest = divmod(budget, total)
+        want, start = [], 0
+        order = sorted((r for r in rows if (r[1] or "").split()), key=lambda r: (hashlib.md5(f"5:{full}:{'-' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is None, r[0]))
+        for i, t, *_ in order:
+            n = len(t.split())
+            part = max(0, min(n, rest - start))
+            start += n
+            if full * n + part:
+                want.append((str(i), n, full, part, full * n + part))
+        got = sorted((str(r.doc_id), r.n_tokens, r.full_epochs, r.part_tokens, r.taken_tokens) for r in mixing.mix(table(spark, rows), {"source": F.col("source")}, {}, percent, epochs, 5).collect())
+        assert [g[:3] for g in got] == sorted(w[:3] for w in want) or sum(g[4] for g in got) == sum(w[4] for w in want) == budget
+        plain = [g for g in got if g[0] not in ("7", "None")]
+        assert plain == sorted(w for w in want if w[0] not in ("7", "None"))
+
+
+def test_codec_of_repeats_and_null_identifiers(spark):
+    import sentencepiece
+
+    path = queries.model_path()
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(None, "a b c", None, None), (None, "a b c", None, None), (1, "x", None, None), (1, "x", None, None), (1, "other", None, None), (2, None, None, None)]
+    df = table(spark, rows)
+    want = sorted((str(i), m.encode(t or "")) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.ids) for r in sp_codec.encode(df, path).collect()) == want
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_count.count_tokens(df, path).collect()) == sorted((i, len(x)) for i, x in want)
+
+
 def test_quality(spark):
     rnd = random.Random(6)
     rows = [(i, prose(rnd, 30) if i % 3 else "### $$$ %%% !!! " * 9, "en", f"src{i % 4}") for i in range(300)] + odd_rows()[:3]
@@ -207,6 +352,110 @@ def test_quality(spark):
     assert quality.classify(table(spark, rows), labels.limit(0), F.col("source"), F.col("source")).count() == len(rows)
 
 
+def test_quality_posteriors_against_brute_force(spark):
+    rnd = random.Random(16)
+    host = lambda i: f"h{min(int(rnd.expovariate(0.4)), 6)}" if i % 17 else None
+    rows = [(i, prose(rnd, 20) if rnd.random() < 0.6 else "### $ %% !!! " * rnd.randrange(1, 9), rnd.choice(["en", "de", None]), host(i)) for i in range(400)]
+    rows += [rows[3], rows[3], (None, "no identifier", "en", "h1"), (None, "no identifier", "en", "h1"), (500, None, None, None), (501, prose(rnd, 30_000), "en", "h2")]
+    marks = [(i, rnd.randrange(2)) for i in range(0, 400, 3)] + [(0, 1), (3, None)]
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    got = quality.classify(table(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int"), F.col("source"), path, max_labelled=50).collect()
+    by = {}
+    for i, q in marks:
+        if q is not None:
+            by.setdefault(i, []).append(q)
+    known = {r.doc_id: r.p_doc for r in got}
+    p_doc = {i: known[i] for i, *_ in rows}
+    data = [(i, h or "-", f"{h or '-'}/{g or '-'}", sum(by[i]) / len(by[i]) if i in by else p_doc[i]) for i, _, g, h in rows]
+
+    def sums(key):
+        out = {}
+        for d in data:
+            s, n = out.get(key(d), (0.0, 0))
+            out[key(d)] = s + d[3], n + 1
+        return out
+
+    def strength(groups):  # (sum, n, mean above)
+        n = sum(g[1] for g in groups)
+        nn = sum(g[1] ** 2 for g in groups)
+        spread = (sum(k * (s / k - m) ** 2 for s, k, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / (n - nn / n)
+        return min(max(sum(k * m * (1 - m) for _, k, m in groups) / n / max(spread, 1e-12) - 1, 1.0), 1e6)
+
+    mean = (sum(d[3] for d in data) + 0.5) / (len(data) + 1)
+    hosts, paths = sums(lambda d: d[1]), sums(lambda d: (d[1], d[2]))
+    k_host = strength([(s, n, mean) for s, n in hosts.values()])
+    middle = {h: (s + k_host * mean) / (n + k_host) for h, (s, n) in hosts.items()}
+    k_path = strength([(s, n, middle[h]) for (h, _), (s, n) in paths.items()])
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    want = []
+    for i, h, q, v in data:
+        p_host = (hosts[h][0] - v + k_host * mean) / (hosts[h][1] - 1 + k_host)
+        p_path = (paths[h, q][0] - v + k_path * p_host) / (paths[h, q][1] - 1 + k_path)
+        score = 1 / (1 + math.exp(-(odds(p_path) + odds(p_doc[i]) - odds(mean))))
+        want.append((str(i), p_doc[i], p_host, p_path, score))
+    have = sorted((str(r.doc_id), r.p_doc, r.p_host, r.p_path, r.score) for r in got)
+    assert len(have) == len(want)
+    for a, b in zip(have, sorted(want), strict=True):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:], rtol=1e-9)
+    assert all(r.keep == (r.score >= 0.5) for r in got)
+    again = quality.classify(table(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int"), F.col("source"), path, max_labelled=50, threshold=have[7][4])
+    assert [r.keep for r in again.collect() if str(r.doc_id) == have[7][0]] == [True] * sum(r[0] == have[7][0] for r in have)
+
+
+def test_quality_fit_counts_copies():
+    rnd = np.random.default_rng(3)
+    x, y, times = rnd.standard_normal((60, quality.N_FEATURES)), rnd.integers(0, 2, 60).astype(float), rnd.integers(1, 4, 60)
+    one = quality.fit(x, y, times.astype(float))
+    all_ = quality.fit(np.repeat(x, times, axis=0), np.repeat(y, times), np.ones(times.sum()))
+    assert np.allclose(one[0], all_[0]) and np.allclose(one[1], all_[1])
+
+
+def test_language_against_brute_force(spark):
+    import zlib
+
+    rnd = random.Random(23)
+    letters = {"aa": "abcdeé", "bb": "bcdefß", "cc": "cdefgñ"}
+    word = lambda g: "".join(rnd.choice(letters[g]) for _ in range(rnd.randrange(1, 6)))
+    rows = [(i, " ".join(word(g) for _ in range(rnd.randrange(1, 40))) + rnd.choice(["", " 12!", "\n", " İX"]), g if i % 5 else None, None) for i in range(150) for g in [rnd.choice(sorted(letters))]]
+    rows += [rows[3], rows[3], (200, "a", None, None), (201, "zzz yyy", None, None), (202, "".join(word("bb") for _ in range(30_000)), "bb", None), (None, "bcd bcd", "aa", None)]
+    size = 30
+
+    def grams(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        t = f" {' '.join(low.split())} " if low.strip() else ""
+        count = {}
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                g = t[i : i + n]
+                if g.strip():
+                    count[g] = count.get(g, 0) + 1
+        return count
+
+    def code(g):
+        return [0x1FFFFF] * (3 - len(g)) + [0 if c == " " else ord(c) for c in g]
+
+    def ranked(count):
+        return [g for g, _ in sorted(count.items(), key=lambda kv: (-kv[1], code(kv[0])))][:size]
+
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    total = {}
+    for i, t, g, _ in rows:
+        if g and t and i is not None and not out(i):
+            for x, n in grams(t).items():
+                total.setdefault(g, {}).setdefault(x, 0)
+                total[g][x] += n
+    profile = {g: {x: r for r, x in enumerate(ranked(c))} for g, c in total.items()}
+    want = []
+    for i, t, _, _ in rows:
+        mine = ranked(grams(t))
+        away = {g: sum(abs(p[x] - r) if x in p else size for r, x in enumerate(mine)) for g, p in profile.items()}
+        best = min(sorted(away), key=away.get)
+        want.append((str(i), out(i), best, 1 / sum(math.exp(-(a - away[best]) / (0.02 * size * len(mine))) for a in away.values())))
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, r.score) for r in langid.identify(table(spark, rows), size=size).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9), (a, b)
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     path = queries.model_path()

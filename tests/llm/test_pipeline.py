@@ -1,4 +1,7 @@
+import glob
+
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import odd_rows, sets_of, table
@@ -45,3 +48,36 @@ def test_one_of_each_group_by_repeated_and_null_ids(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     groups = [{(7, w), (7, w + " more")}, {(None, v), (None, v + " more")}, {(7, u + " again")}, {(3, "")}, {(3, " ")}, {(8, "alone here")}, {(None, "by itself")}]
     assert len(got) == len(groups) and all(len(g & set(got)) == 1 for g in groups), got
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns named as what stages and operators use inside, or with a dot, pass through."""
+    rows = odd_rows()
+    more = {"__doc_id": F.lit(1), "__text_sha256": F.lit("x"), "__key": F.lit(2), "key0": F.lit(3), "key": F.lit("k"), "a.b": F.lit("dot"), "label": F.lit(4), "digest": F.lit("d"), "c0": F.lit(5), "lang_pred": F.lit("p"), "n_tokens": F.lit(6), "source_": F.lit("s")}
+    plain = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = plain.select("*", *(c.alias(n) for n, c in more.items()))
+    docs.write.parquet(str(tmp_path / "in"))
+    docs, plain = spark.read.parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "in")).select("doc_id", "text", "lang", "source", "n_chars")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        names = docs.columns
+        docs, plain = stage(spark, docs, ""), stage(spark, plain, "")
+        docs.write.parquet(str(tmp_path / f"d{i}"))
+        plain.write.parquet(str(tmp_path / f"p{i}"))
+        docs, plain = spark.read.parquet(str(tmp_path / f"d{i}")), spark.read.parquet(str(tmp_path / f"p{i}"))
+        assert i == 4 or docs.columns == names
+        assert sorted(map(str, docs.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_empty_table(spark, tmp_path):
+    table(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    table(spark, odd_rows()[:20]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {p for p in glob.glob(f"{shared}/*/*")}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0
+    left = [p for p in glob.glob(f"{shared}/*/*") if p not in before]
+    assert len(left) == 1 and "pipeline-" in left[0]
