@@ -18,7 +18,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text counts as empty, which is one empty line; texts of fewer than three lines stay as they are. A null
     identifier comes after all others. Rows that repeat identifier and text are one document and fare alike: they
-    keep the first occurrence together. An empty table gives an empty result; other columns are not read.
+    keep the first occurrence together. Texts of any length are read whole, a row for each window. An empty table gives
+    an empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "line_dedup")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -57,7 +57,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, int], bud
     taken in part (``part_tokens < n_tokens``).
 
     Documents without words are never taken. A null identifier counts as the text ``-`` and comes last among equals.
-    Rows that repeat an identifier follow each other. An empty table gives an empty result; other columns are not read.
+    Rows that repeat an identifier follow each other. Texts of any length are read whole, for their number of words. An
+    empty table gives an empty result; other columns are not read.
     """
     if any(w < 0 for w in weights.values()) or max_epochs < 1 or budget_percent < 0:
         raise ValueError("weights and budget must not be negative, max_epochs at least 1")

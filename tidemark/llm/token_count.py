@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, text_lengths
+from tidemark.llm.common import release, slices, text_lengths
 
 _LOADED: dict[str, object] = {}
 
@@ -74,6 +74,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for i, j in slices(size, slice_bytes):
                 tokens.append(_counts([t or "" for t in b.column(1).slice(i, j - i).to_pylist()], model_path, piece_chars))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(np.concatenate(tokens))], names=["doc_id", "n_bytes", "n_tokens"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
