@@ -13,6 +13,7 @@ from tidemark.functions import stats as S
 from tidemark.functions.monoid import Monoid
 from tidemark.operators.series import Series
 from tidemark.sources.report import parse_report, pivot_report, table_lines
+from tidemark.streaming.windowed import windowed_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -202,6 +203,9 @@ _add("q_moving_average_1024", lambda s, d: events(s, d).moving_average(1024).df,
 _add("q_sliding_wide_max", lambda s, d: events(s, d).sliding(100, 7, lambda w: w.max() - w.min()).df, _window_sql(100, 7, "max(x) over w - min(x) over w"))
 
 
+_add("q_windowed_stats", lambda s, d: windowed_stats(_table(s, d, "events").withColumn("x", F.expr(CENTS)), "ts", "x", "1 hour", "10 minutes", ("event_type",)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", *_parts("stats")), f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, {_stats.format(x='x')} from (select ts, event_type, round(value * 100)::bigint x from events) group by 1, 2")
+
+
 # -- all arities and element types
 def _micro(i: int) -> str:
     return f"round(cast(embedding[{i}] as double) * 1000000)"
