@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, slices, text_bytes, text_lengths
+from tidemark.llm.common import Scratch, release, slices, text_bytes, text_lengths
 
 _BYTES = np.arange(256)
 _CLASSES = [
@@ -45,18 +45,19 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
-    """Logistic regression by Newton steps on standardised features; bias and weights for raw ones."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
+    """Logistic regression by Newton steps on standardised features, each row counted so many ``times``; bias and weights for raw ones."""
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the share of good ones, smoothed
-        p = (y.sum() + 1) / (len(y) + 2)
+        p = ((y * times).sum() + 1) / (times.sum() + 2)
         return float(np.log(p / (1 - p))), np.zeros(x.shape[1])
-    mean, sd = x.mean(0), x.std(0) + 1e-6
+    mean = np.average(x, axis=0, weights=times)
+    sd = np.average((x - mean) ** 2, axis=0, weights=times) ** 0.5 + 1e-6
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / sd])
     w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((z * (p * (1 - p) * times)[:, None]).T @ z + np.diag(penalty), z.T @ ((y - p) * times) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -77,16 +78,17 @@ def _strength(groups: DataFrame, above: str) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """One row for each input row: ``doc_id, p_doc, p_host, p_path, score, keep``.
 
-    ``p_doc`` is the classifier's probability from the text alone, fitted on at most ``max_labelled`` labelled rows (those
-    of least hash). Hosts and paths collect, over all documents, labels where there are some and ``p_doc`` elsewhere:
+    ``p_doc`` is the classifier's probability from the text alone, fitted on at most ``max_labelled`` different labelled
+    rows (those of least hash of identifier and features), each counted as often as it comes. Hosts and paths collect, over all documents, labels where there are some and ``p_doc`` elsewhere:
     a host's posterior mean shrinks towards the mean of all, a path's towards its host's, each the more the fewer
     rows it has, with weights of the priors from how much hosts and paths differ. A document's own part is left out of
     its host and path. ``score`` joins the odds of ``p_path`` with the evidence of the text, the odds of ``p_doc`` over
     those of the mean; ``keep`` is ``score >= threshold``.
 
     A null text counts as empty. A null host or path is one of its own, by the name ``-``. A label is the mean of its
-    rows, null ones left out; labels of no document and a null identifier's are not used. Repeated rows count each. An
-    empty table gives an empty result; other columns are not read.
+    rows, null ones left out; labels of no document and a null identifier's are not used. Repeated rows count each. A row
+    of a score of just ``threshold`` is kept. Texts of any length are read whole. An empty table gives an empty result;
+    other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
 
@@ -96,14 +98,20 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
                 f = features(*text_bytes(b.column(3).slice(i, j - i)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, N_FEATURES, dtype=np.int32)), pa.array(f.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), lists], names=["doc_id", "host", "path", "f"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("-")).alias("host"), F.coalesce(path.cast("string"), F.lit("-")).alias("path"), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInArrow(run, "doc_id long, host string, path string, f array<float>")
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id")).agg(F.avg(label_col).cast("double").alias("y"))
     rows = scratch.put(rows.join(marks, "doc_id", "left"))
-    known = rows.where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(max_labelled).select("f", "y").toPandas()
+    # A share of the hashes that leaves max_labelled rows and six deviations more, of which the least are taken: what is
+    # sent anywhere is bounded, however many rows, partitions and copies there are.
+    labelled = rows.where("y is not null").withColumn("draw", F.pmod(F.xxhash64("doc_id", "f"), F.lit(1 << 40)))
+    share = (max_labelled + 6 * max_labelled**0.5) / max(1, labelled.count())
+    labelled = labelled.where(F.col("draw") < int(min(1.0, share) * (1 << 40))).groupBy("draw", "doc_id", "f").agg(F.first("y").alias("y"), F.count("*").alias("times"))
+    known = scratch.put(labelled.orderBy("draw", "doc_id", "f").limit(max_labelled).select("f", "y", "times")).toPandas()
     x = np.array(known["f"].tolist(), np.float64).reshape(-1, N_FEATURES)
-    bias, w = fit(x, (known["y"].to_numpy() >= 0.5).astype(float))
+    bias, w = fit(x, (known["y"].to_numpy() >= 0.5).astype(float), known["times"].to_numpy().astype(float))
     margin = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(c)) for c in w]), lambda a, b: a.cast("double") * b), F.lit(bias), lambda a, b: a + b)
     sure = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda p: F.log(sure(p) / (1 - sure(p)))
