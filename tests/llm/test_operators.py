@@ -185,6 +185,9 @@ LEAD = "lead text " * 20
         ("<article><p>Read <span class='share'>Share it</span> on and on.</p></article>", ["Read on and on."]),
         (f"<article><p>{LEAD}</p><ul>{'<li>x</li>' * 12}</ul><p>{LEAD}</p></article>", [LEAD.strip(), *["x"] * 12, LEAD.strip()]),
         ("<nav>only menu text</nav><footer>and a foot</footer>", []),
+        ("<article><p>One <script>var x = '<p>';</script>block <button>Copy</button>of <b>text</b>.</p></article>", ["One block of text."]),
+        (f"<html><head><title>T</title><meta name=x><p>{LEAD}</p>", [LEAD.strip()]),
+        (f"<table><tr><td>{LEAD}<td>next</table>", [LEAD.strip() + " next"]),
     ],
 )
 def test_html_evidence_is_relative(html, want):
