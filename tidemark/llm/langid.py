@@ -114,7 +114,7 @@ def predict_language(docs: DataFrame, profiles: list[tuple[str, int, int]], id_c
         if not len(mine):
             return "und", 0.0
         at = np.searchsorted(grams, mine)
-        at[(at == len(grams)) | (np.append(grams, 0)[at] != mine)] = len(grams)
+        at[(at == len(grams)) | (np.append(grams, np.uint64(0))[at] != mine)] = len(grams)
         theirs = ranks[at]
         away = np.where(theirs < 0, size, np.abs(theirs - np.arange(1, len(mine) + 1)[:, None])).sum(0)
         best = int(np.argmin(away))
