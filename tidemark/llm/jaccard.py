@@ -322,12 +322,19 @@ def _near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, n: int, docs: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
     """Those of the ``n`` rows ``pairs(a, b, la, lb, tha, thb)`` whose sets are similar.
 
-    The set of ``b`` goes once to each 64 or so of its partners, which pass by it one at a time.
+    Of the two the one with more partners is the middle: its set goes once to each 64 or so of them, which pass by it one
+    at a time. So the set of a class with many partners isn't sent to each.
     """
     names = ["a", "b", "la", "lb"]
     if not n:
         return pairs.select(*names)
-    dealt = pairs.join(pairs.groupBy("b").count(), "b").select(*names, F.pmod(F.xxhash64("a"), F.ceil(F.col("count") / 64)).alias("part"))
+    partners = scratch.put(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).groupBy("cls").count())
+    dealt = pairs.select(*names)
+    for side in "ab":
+        dealt = dealt.join(partners.select(F.col("cls").alias(side), F.col("count").alias(f"n{side}")), side)
+    turn = F.col("na") > F.col("nb")
+    dealt = dealt.select(*(F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("la", "lb"), ("lb", "la"))), F.greatest("na", "nb").alias("most"))
+    dealt = dealt.select(*names, F.pmod(F.xxhash64("a"), F.ceil(F.col("most") / 64)).alias("part"))
     none = F.lit(None).cast("long")
     sent = dealt.select(F.col("a").alias("cls"), *names, "part").union(dealt.select(F.col("b").alias("cls"), none, "b", none, none, "part").distinct())
     sets = _sets_of(pairs.select(F.col("tha").alias("x")).union(pairs.select("thb")), 2 * n, docs, k).join(sent, "cls")
@@ -373,8 +380,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are the classes that links connect, named by their least identifier. A document with fewer than ``k`` words has
     all its words as one element; a null text, an empty one and one of white space alone have the empty set and link
     with nothing, so each is its own component. Copies and repeated rows link with each other. A row with a null
-    identifier takes part, but gives its component no name unless it stands alone, when ``component_id`` is null. An
-    empty table gives an empty result; other columns are not read. Words are compared by 64-bit hashes.
+    identifier takes part, but gives its component no name unless it stands alone, when ``component_id`` is null. Texts
+    and words of any length are read whole, in blocks. An empty table gives an empty result; other columns are not read.
+    Words are compared by 64-bit hashes.
     """
     return jaccard_rows(docs, None, id_col, text_col, percent, k, most_l, sketch_bits).select("doc_id", "n_shingles", "component_id")
 
@@ -459,34 +467,40 @@ def jaccard_rows(docs: DataFrame, key: Column | None = None, id_col: str = "doc_
         mixed = at.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")).where("x <> y")
         most = (F.col("n") + F.col("at") % 16 - 1 - F.floor(F.col("at") / 16)) * (100 + percent) / percent - F.col("n")
         fit = (F.col("least") <= most) & (F.col("most") * 100 >= F.col("n") * percent)
-        return scratch.put(at.join(mixed.select("gram", "least", "most"), "gram").where(fit).drop("least", "most"))
+        mixed = scratch.put(mixed.select("gram", "least", "most"))
+        out = scratch.put(at.join(mixed, "gram").where(fit).drop("least", "most"))
+        scratch.drop(mixed)
+        return out
 
     live = held.select("cls", "n", F.col("cls").alias("label"), "score", "cnt", F.inline("rows")).where("at % 2 = 1")
-    live = live.withColumn("at", F.shiftright("at", 1))
+    live, left = live.withColumn("at", F.shiftright("at", 1)), None
     for turn in range(4):
         # The hub: the most central class of the n-gram; in later turns the most central one of a component drawn by hash.
         central = [F.col("score"), F.col("cls")] if not turn else [F.xxhash64("label", F.lit(turn)), F.col("score"), F.col("cls")]
         best = F.max(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(central)), F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("cnt").alias("cb"), F.col("at").alias("pb"))).alias("h")
-        hub = live.groupBy("gram").agg(best).select("gram", *(f"h.{c}" for c in ("b", "lb", "m", "cb", "pb")))
-        n, links = look(live.withColumnsRenamed({"at": "pa", "cls": "a", "cnt": "ca"}).join(hub, "gram").where((F.col("label") != F.col("lb")) & fits))
+        # Written, as is what an n-gram meets above, so that Spark can split a frequent n-gram in the join.
+        hub = scratch.put(live.groupBy("gram").agg(best).select("gram", *(f"h.{c}" for c in ("b", "lb", "m", "cb", "pb"))))
+        _, links = look(live.withColumnsRenamed({"at": "pa", "cls": "a", "cnt": "ca"}).join(hub, "gram").where((F.col("label") != F.col("lb")) & fits))
+        scratch.drop(hub)
         if links:
             before, live = live, open_rows(live)
             scratch.drop(before)
         # Pairs across components that share an n-gram: few enough to look at each?
         sizes = live.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
         total = sizes.agg(F.sum("c").alias("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")).first()
-        if links * 20 < n or (total.pairs or 0) <= 8 * (total.c or 0):  # or stars join little more
+        if (total.pairs or 0) <= 8 * (total.c or 0) or left is not None and total.pairs > 0.9 * left:  # or stars join little more
             break
+        left = total.pairs
     # All pairs that are left, by the full multi-match rule.
     x = live.select("gram", F.col("cls").alias("a"), "n", "label", F.col("at").alias("pa"), F.col("cnt").alias("ca"))
     y = live.select("gram", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("at").alias("pb"), F.col("cnt").alias("cb"))
     look(x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & fits))
-    scratch.drop(live, held)
 
     # Names: the least identifier of each class, then of each component.
     cls = named.where("n > 0").groupBy("cls", "cls2").agg(F.min("id").alias("id"))
     cls = cls.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     cls = scratch.put(cls)
+    scratch.drop(live, held)  # held is where the labels are while nothing has linked
     least = cls.groupBy("label").agg(F.min("id").alias("least"))
     cls = cls.join(least, "label").select("cls", "cls2", "label", "least")
     out = named.join(cls, ["cls", "cls2"], "left")
