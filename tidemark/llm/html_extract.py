@@ -104,6 +104,7 @@ class Lines(HTMLParser):
         if tag == "br":
             self.words.append(" ")
         if self.open and self.open[-1][0] == "head" and tag not in HEAD:
+            self.flush()
             self._pop(len(self.open) - 1)
         if tag in VOID:
             self.tags += 1
