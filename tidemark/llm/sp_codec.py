@@ -27,7 +27,7 @@ from tidemark.llm.common import release, slices, text_lengths
 _LOADED: dict[str, Codec] = {}
 _RAW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 #: Words whose ids a worker remembers from one slice to the next; then it starts anew.
-MEMORY = 250_000
+MEMORY = 120_000
 SPACE = "▁"
 
 
@@ -298,10 +298,11 @@ def codec(path: str) -> Codec:
     """The codec of a model, made once in a worker."""
     if path not in _LOADED:
         _LOADED[path] = Codec(path)
+        release()
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """One row for each input row: ``doc_id, n_tokens, ids``; the ids the library gives for the whole text.
 
     No begin or end tokens; strings of special tokens are ordinary text. Null and empty texts have no ids. Null
