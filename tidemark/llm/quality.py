@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, release, slices, text_bytes, text_lengths
+from tidemark.llm.jaccard import SLICE, word_hashes
 
 _BYTES = np.arange(256)
 _CLASSES = [
@@ -24,11 +25,11 @@ _CLASSES = [
     np.isin(_BYTES, [ord(c) for c in "|"]),
     np.isin(_BYTES, [ord(c) for c in "#$%&*@<>{}[]()/\\=+_~^`"]),
 ]
-N_FEATURES = len(_CLASSES) + 3
+N_FEATURES = len(_CLASSES) + 4
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Features of whole texts laid end to end: shares of byte classes, mean word length, log length, share of repeated lines."""
+    """Features of whole texts laid end to end: shares of byte classes and of words that are the one before again, mean word length, log length, share of repeated lines."""
     n = np.diff(off)
     out = np.zeros((len(n), N_FEATURES), np.float32)
     size = np.maximum(n, 1)
@@ -36,6 +37,10 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(c[raw], dtype=np.int64)])[off]
         out[:, i] = np.diff(total) / size
     spaces = (out[:, 4] + out[:, 5]) * size
+    words, before = word_hashes(raw, off)
+    again = np.concatenate([[0, 0], np.cumsum(words[1:] == words[:-1])])[: len(words) + 1]
+    first = np.minimum(before[:-1] + 1, before[1:])  # a text's first word has none before it
+    out[:, -4] = (again[before[1:]] - again[first]) / np.maximum(np.diff(before), 1)
     out[:, -3] = np.minimum(n / (spaces + 1), 50) / 10
     out[:, -2] = np.log1p(n) / 10
     data = raw.tobytes()
@@ -94,7 +99,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(text_lengths(b.column(3)), 4 << 20):
+            for i, j in slices(text_lengths(b.column(3)), SLICE):
                 f = features(*text_bytes(b.column(3).slice(i, j - i)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, N_FEATURES, dtype=np.int32)), pa.array(f.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), lists], names=["doc_id", "host", "path", "f"])
