@@ -40,9 +40,11 @@ MARK = frozenset(
 )
 #: A name with one of these says what a content element has or lacks beside it.
 BESIDE = frozenset("has with no without layout".split())
-#: Marks that an article can be about. In one they need to stand alone as a class, or a word of BUILT beside them.
+#: Marks that a section of an article can be about, as its id says, and those of them that also mean other things in a class
+#: of several words. In an article they count with a word of BUILT, or with nothing but marks beside them.
+PLAIN = frozenset("form search discussion notice alert related foot promotion navigation menu".split())
 TOPIC = MARK - frozenset("ad ads advert adverts comments commentlist replies respond disqus sidebar aside widget navbar masthead topbar breadcrumb breadcrumbs pagination pager toolbar".split())
-BUILT = frozenset("list box bar button buttons icons links posts articles stories items area container wrapper widget form thread block panel banner".split())
+BUILT = frozenset("list box bar button buttons icons links posts articles stories items content reading area container wrapper widget form thread block panel banner".split())
 
 #: Evidence, as powers of two that a ratio is multiplied by.
 ARTICLE, MARKED, TWICE, SIDEWAYS, LINKS = 20.0, -20.0, -40.0, -90.0, -20.0
@@ -59,9 +61,9 @@ def marked(names: str, in_article: bool, anchor: bool = False) -> bool:
     for name in names.lower().split():
         parts = re.split(r"[-_]+|(?<=[a-z])(?=\d)", name)
         found = MARK.intersection(parts)
-        topics = found & TOPIC
-        if in_article and found == topics and (anchor or len(parts) > 1) and not any(t != b for t in topics for b in BUILT.intersection(parts)):
-            continue
+        if in_article and (anchor and found <= TOPIC or len(parts) > 1 and found <= PLAIN):
+            if not any(t != b for t in found for b in BUILT.intersection(parts)) and (len(parts) == 1 or len(found) < len(set(parts))):
+                continue
         if not BESIDE.intersection(parts) and (found or not in_article and "header" in parts):
             return True
     return False
