@@ -194,6 +194,14 @@ def test_html_evidence_is_relative(html, want):
     assert html_extract.main_text(html) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize(
+    ("name", "content"),
+    [("form-of-life", True), ("search-history", True), ("related-work", True), ("has-sidebar", True), ("intro", True), ("newsletter-signup", False), ("share-this", False), ("comment-body", False), ("related-content", False), ("notice", False), ("cookie-banner", False), ("ad", False), ("post-comments", False)],
+)
+def test_html_classes_in_an_article(name, content):
+    assert html_extract.main_text(f"<article><p>{LEAD}</p><div class='{name}'><p>{LEAD}</p></div></article>") == "\n\n".join([LEAD.strip()] * (1 + content))
+
+
 def test_html_ratio_smoothing_and_clusters():
     rnd = random.Random(8)
     page = "<body>" + "".join(f"<p>{'<b>' * rnd.randrange(3)}{'t' * rnd.choice([2, 40, 900])}</p>" for _ in range(40)) + "</body>"
