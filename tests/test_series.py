@@ -201,6 +201,19 @@ def test_a_far_key_makes_no_cell_large(spark):
     assert parts < n / 100
 
 
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_texts_as_keys(spark, kind):
+    from tidemark.operators import index
+
+    df = spark.range(5000).select(F.format_string("customer-%09d", F.col("id") * 7919 % 100_003).cast(kind).alias("k"), (F.col("id") * 7919 % 100_003).cast("int").alias("v"))
+    got = [r.x for r in Series.wrap(df, "v", "k").indexed.orderBy("idx").collect()]
+    assert got == sorted(i * 7919 % 100_003 for i in range(5000))
+    assert index.cut(df, "k").groupBy("__cell", "__part").count().agg(F.max("count")).first()[0] < 100
+    odd = spark.createDataFrame([("", 1), ("a", 2), ("a\u0000", 3), ("aé", 4)], "k string, v int")
+    assert [r.x for r in Series.wrap(odd.select(F.col("k").cast(kind).alias("k"), "v"), "v", "k").indexed.orderBy("idx").collect()] == [1, 2, 3, 4]
+    assert Series.wrap(odd.where("v > 9"), "v", "k").indexed.collect() == []
+
+
 @pytest.mark.parametrize("width", [33, 100, 1024])
 def test_wide_windows(spark, width):
     rnd = random.Random(width)

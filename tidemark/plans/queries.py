@@ -227,6 +227,18 @@ _add("q_map_float", lambda s, d: _series("part", "cast(p_size as float)", "p_par
 _add("q_moving_average_float", lambda s, d: _series("part", "cast(p_size as float)", "p_partkey")(s, d).moving_average(4).df, "select idx as j, v x from (select idx, (sum(x) over w)::double / 4 v, count(*) over w n from (select row_number() over (order by p_partkey) - 1 idx, p_size x from part) window w as (order by idx rows between current row and 3 following)) where n = 4")
 _add("q_compare_vec2", lambda s, d: vec2(s, d).df.select(*(f"k{i}" for i in range(6)), (F.col("x") > F.struct(F.lit(25.0).alias("_1"), F.lit(30000.0).alias("_2"))).alias("above")), f"select {_line_k}, (l_quantity > 25 or l_quantity = 25 and l_extendedprice > 30000) above from lineitem")
 _add("q_negate_vec4", lambda s, d: embedding4(s, d).map("return -x;", "long4").sum_df().select(*[F.col(f"sum._{i}").alias(f"s{i}") for i in range(1, 5)]), "select " + ", ".join(f"-sum(round(cast(embedding[{i}] as double) * 1000000)::bigint)::bigint s{i}" for i in range(1, 5)) + " from embeddings")
+_add("q_moving_average_float4", lambda s, d: _wide(4, "float")(s, d).moving_average(8).df.select("j", *[F.col(f"x._{i + 1}").alias(f"x{i + 1}") for i in range(4)]), "select idx as j, " + ", ".join(f"x{i + 1}" for i in range(4)) + " from (select idx, " + ", ".join(f"(sum(v{i + 1}) over w)::double / 8 x{i + 1}" for i in range(4)) + ", count(*) over w n from (select row_number() over (order by vec_id) - 1 idx, " + ", ".join(f"{_duck(i)}::bigint v{i + 1}" for i in range(4)) + " from embeddings) window w as (order by idx rows between current row and 7 following)) where n = 8")
+_add("q_cast_vec2", lambda s, d: vec2(s, d).to("long2").df.select(*(f"k{i}" for i in range(6)), F.col("x._1").alias("x1"), F.col("x._2").alias("x2")), f"select {_line_k}, trunc(l_quantity)::bigint x1, trunc(l_extendedprice)::bigint x2 from lineitem")
+_add("q_values_sum", lambda s, d: Series.from_values(s, list(range(1000)), "int").map("return x * x;", "long").sum_df(), "select sum(x * x)::bigint as sum from range(1000) t(x)")
+
+
+def _profiled(s: SparkSession, d: str) -> DataFrame:
+    """One row: the sum of a series, and how many elements passed while it was made."""
+    seen, profile = sizes(s, d).to("long").observed("elements of q_profile")
+    return s.createDataFrame([(seen.sum(), profile.get["elements"])], "total long, elements long")
+
+
+_add("q_profile", _profiled, "select sum(p_size)::bigint total, count(*) elements from part")
 
 # -- the workloads over a range of doubles
 _N = 1 << 17
