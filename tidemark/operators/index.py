@@ -54,12 +54,12 @@ def cut(df: DataFrame, key: str) -> DataFrame:
     if text:
         df = _with_same(df, key)
     first = _numeric(df, key)
-    ends = df.agg(F.min(first).alias("__low"), F.max(first).alias("__high"))
+    ends = df.agg(F.min(first).alias("__low"), F.max(first).alias("__high"), F.count("*").alias("__all"))
     celled = df.join(F.broadcast(ends), how="left")  # one row
     celled = celled.withColumn("__cell", _parts(first, F.col("__low"), F.col("__high"), F.lit(CELLS))).drop("__low", "__high")
-    cells = celled.groupBy("__cell").agg(F.count("*").alias("__n"), F.min(first).alias("__low"), F.max(first).alias("__high"))
-    cells = cells.withColumn("__n", F.floor(F.col("__n") / F.sum("__n").over(Window.partitionBy()) * CELLS) + 1)  # at most CELLS rows, as below
-    celled = celled.join(F.broadcast(cells), "__cell")
+    share = F.floor(F.count("*") / F.first("__all") * CELLS) + 1
+    cells = celled.groupBy("__cell").agg(share.alias("__n"), F.min(first).alias("__low"), F.max(first).alias("__high"))
+    celled = celled.drop("__all").join(F.broadcast(cells), "__cell")  # at most CELLS rows
     return celled.withColumn("__part", _parts(first, F.col("__low"), F.col("__high"), F.col("__n"))).drop("__low", "__high", "__n", "__same")
 
 
