@@ -72,3 +72,25 @@ def test_product_takes_all_of_part_in_several_groups(spark):
     for r in part:
         want = want * (r.p_size % 5 + 1) % 1000003
     assert len(part) > 2 * 4096 and Q.queries()["q_reduce_product"](spark, BIG).collect() == [(want,)]
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables")
+def test_windowed_stats_to_the_last_digit(spark):
+    """Here the exact sum of squares lies midway between two of its 9 digits in 88 windows; one thread, as the SQL's own last digit depends on how threads share the rows."""
+    c = duckdb.connect(config={"threads": 1})
+    c.execute(f"create view events as select * from read_parquet('{BIG}/events.parquet')")
+    found = c.execute(Q.oracle_sql()["q_windowed_stats"])
+    names = [d[0] for d in found.description]
+    assert plain(Q.queries()["q_windowed_stats"](spark, BIG).select(*names).collect()) == plain(found.fetchall())
+
+
+def test_windowed_stats_in_order(spark):
+    rows = spark.sql("select id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id * 7 % 600) t, case when id % 4 < 3 then concat('b', id % 4) end b, case when id % 4 = 2 then null when id % 97 = 0 then double('NaN') else cast(id * id % 1009 as double) end v from range(30000)")
+    made = lambda df: sorted(map(str, windowed_stats(df, "t", "v", "1 minute", "1 minute", ("b",), ("id",)).collect()))
+    got = windowed_stats(rows, "t", "v", "1 minute", "1 minute", ("b",), ("id",))
+    want = windowed_stats(rows, "t", "v", "1 minute", "1 minute", ("b",))
+    assert got.dtypes == want.dtypes
+    key = lambda r: (r.start, str(r.b))
+    for g, w in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert g[:3] == w[:3] and list(g.stats) == pytest.approx(list(w.stats), rel=1e-12, nan_ok=True)
+    assert made(rows) == made(rows.repartition(7, "v")) and len(made(rows)) == 40

@@ -203,7 +203,12 @@ _add("q_moving_average_1024", lambda s, d: events(s, d).moving_average(1024).df,
 _add("q_sliding_wide_max", lambda s, d: events(s, d).sliding(100, 7, lambda w: w.max() - w.min()).df, _window_sql(100, 7, "max(x) over w - min(x) over w"))
 
 
-_add("q_windowed_stats", lambda s, d: windowed_stats(_table(s, d, "events").withColumn("x", F.expr(CENTS)), "ts", "x", "1 hour", "10 minutes", ("event_type",)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", *_parts("stats")), f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, {_stats.format(x='x')} from (select ts, event_type, round(value * 100)::bigint x from events) group by 1, 2")
+def _digits(x: pa.Array) -> pa.Array:
+    """9 digits of the double itself; Java's format rounds its shortest decimal, which can lie midway when the double doesn't."""
+    return pa.array([None if v is None else f"{v:.9e}" for v in x.to_pylist()], pa.string())
+
+
+_add("q_windowed_stats", lambda s, d: windowed_stats(_table(s, d, "events").withColumn("x", F.expr(CENTS)), "ts", "x", "1 hour", "10 minutes", ("event_type",), ("event_id",)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", *_parts("stats")[:-1], F.arrow_udf(_digits, "string")("stats.m2").alias("m2")), f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, {_stats.format(x='x')} from (select ts, event_type, round(value * 100)::bigint x from events) group by 1, 2")
 
 
 # -- all arities and element types
